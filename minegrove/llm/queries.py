@@ -13,6 +13,7 @@ from .bpe import DEFAULT_VOCABULARY, encode_texts
 from .cooccur import pair_counts
 from .heavy import frequent_values
 from .leaks import find_leaks
+from .sentences import KNOWN_NAMES, learn_names, split_sentences
 from .setjoin import similar_sets
 from .sql import SQL
 
@@ -120,6 +121,13 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every document."""
+    documents = table(spark, d, "documents")
+    learned = frozenset((r["word"], r["mark"]) for r in learn_names(documents).collect())
+    return split_sentences(documents, names=KNOWN_NAMES | learned)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
@@ -130,4 +138,5 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
+    "p8_found": p8_found,
 }
