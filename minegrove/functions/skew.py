@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..session import shuffle_width
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: float = 0.01, counts: DataFrame | None = None) -> DataFrame:
     """Keys with more than ``share`` of the rows that have a key.
 
     At most ``1 / share`` rows whatever the input, so the result may be broadcast.
-    Counts are combined before the shuffle; the total is one row.
+    Counts are combined before the shuffle; the total is one row. ``counts``: the rows
+    of each key (``key``, ``_n``), where they are known already.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).withColumn("_one", F.lit(1))
     return (
         counts.withColumn("_one", F.lit(1))
@@ -34,6 +36,7 @@ def salted_join(
     condition: Column | None = None,
     share: float = 0.01,
     salts: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join on ``key`` with the left rows of hot keys spread over ``salts`` tasks.
 
@@ -42,9 +45,10 @@ def salted_join(
     keys, and only those, are repeated once per salt. ``condition`` may name
     columns of both sides, which must differ but for ``key``. ``how`` is one of
     inner, left, left_semi, left_anti. Null keys keep their meaning: they match nothing.
+    ``counts``: as for ``hot_keys``.
     """
     salts = salts or max(2, shuffle_width(left.sparkSession))
-    hot = F.broadcast(hot_keys(left.select(key), key, share).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left.select(key), key, share, counts).withColumn("_hot", F.lit(True)))
     spread_left = (
         left.join(hot, key, "left")
         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash(spread), F.lit(salts))).otherwise(F.lit(0)))
