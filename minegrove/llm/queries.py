@@ -14,7 +14,7 @@ from .cooccur import pair_counts
 from .heavy import frequent_values
 from .leaks import find_leaks
 from .sentences import KNOWN_NAMES, learn_names, split_sentences
-from .setjoin import similar_sets
+from .setjoin import SimilarSets
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -26,31 +26,33 @@ def _pairs_table(spark: SparkSession, d: str, name: str) -> DataFrame:
     )
 
 
-def _business_sets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return similar_sets(
+def _business_sets(spark: SparkSession, d: str) -> SimilarSets:
+    return SimilarSets(
         _pairs_table(spark, d, "yelp_train"), "business_id", "user_id", threshold=Fraction(1, 2), min_size=5
     )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of businesses that share at least half of their users."""
-    return _business_sets(spark, d)["pairs"].select(
-        F.col("id_1").alias("business_id_1"), F.col("id_2").alias("business_id_2")
+    return (
+        _business_sets(spark, d)
+        .pairs()
+        .select(F.col("id_1").alias("business_id_1"), F.col("id_2").alias("business_id_2"))
     )
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every business of five users or more: its class of equal sets, and the links of that class."""
     made = _business_sets(spark, d)
-    ends = made["links"].select(F.explode(F.array("class_1", "class_2")).alias("class_id"))
+    ends = made.links().select(F.explode(F.array("id_1", "id_2")).alias("class_id"))
     counted = ends.groupBy("class_id").agg(F.count("*").alias("links"))
     return (
-        made["classes"]
+        made.classes()
         .join(counted, "class_id", "left")
         .select(
             F.col("id").alias("business_id"),
             "class_id",
-            F.col("size").cast("bigint").alias("users"),
+            F.col("size").alias("users"),
             F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
         )
     )

@@ -377,7 +377,7 @@ class _Batch:
                 token = max(text.rfind(c, max(0, at - 200), at) for c in " \n\t\r\0") + 1
                 if "://" in text[token:at] or "/" in text[token:at]:
                     run[i] = S_PAD
-            elif self.names and text[at] in "!?" and text[at + 1] == " " and kind[at + 2] == CAPITAL:
+            elif self.names and text[at] in "!?" and kind[at + 1] == SPACE and kind[next_visible[at + 1]] == CAPITAL:
                 if (text[int(break_before[at]) : at], text[at]) in self.names:
                     run[i] = S_PAD
 
@@ -493,13 +493,13 @@ def learn_names(
     ``min_places`` different words. A word that merely ends sentences has other marks or none elsewhere,
     and is followed by what happens to come next. At most ``most`` names, the most frequent.
     """
-    pattern = r"(\S{0,12}\s\p{Lu}\p{L}+(?:[!?](?: \p{Lu}\p{L}+)?)?)"
+    pattern = r"(\S{0,12}\s\p{Lu}\p{L}+(?:[!?](?:\s{1,4}\p{Lu}\p{L}+)?)?)"
     seen = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("s"))
     parts = seen.select(
         F.regexp_extract("s", r"^(\S*)\s", 1).alias("lead"),
         F.regexp_extract("s", r"\s(\p{Lu}\p{L}+)", 1).alias("word"),
         F.regexp_extract("s", r"\s\p{Lu}\p{L}+([!?])", 1).alias("mark"),
-        F.regexp_extract("s", r"[!?] (\p{Lu}\p{L}+)$", 1).alias("next"),
+        F.regexp_extract("s", r"[!?]\s+(\p{Lu}\p{L}+)$", 1).alias("next"),
     )
     places = parts.groupBy("word", "mark", "next", "lead").agg(F.count("*").alias("n"))
     each = places.groupBy("word", "mark", "next").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
@@ -526,7 +526,7 @@ def split_sentences(
     text: str = "text",
     names: frozenset[tuple[str, str]] = KNOWN_NAMES,
     chunk: int = 256,
-    batch_chars: int = 2_000_000,
+    batch_chars: int = 500_000,
 ) -> DataFrame:
     """``(doc_id, sent_start, sent_end)``: the sentences of every document, in code points.
 
