@@ -423,6 +423,7 @@ class _Batch:
         directly = np.zeros(n, bool)
         for m in _CLOSED_MARK.finditer(text):
             directly[m.start("c") : m.end("c")] = True
+        directly &= closing | (code == ord("'"))
 
         # white space of a Thai passage: the last letter before it is Thai
         thai = THAI[code]
@@ -439,8 +440,7 @@ class _Batch:
         symbol[finals] = run
         symbol[valid_open] = S_OPEN
         symbol[valid_close] = np.where(directly, S_CLOSE_NEXT, S_CLOSE)[valid_close]
-        symbol[directly & ~valid_close & (pair >= 0) & ~opens] = S_PLAIN_NEXT
-        symbol[directly & (code == ord("'"))] = S_PLAIN_NEXT
+        symbol[directly & ~valid_close] = S_PLAIN_NEXT
         symbol[thai_space] = S_THAI_SPACE
         symbol[blank] = S_BLANK_LINE
         symbol[separator] = S_END
