@@ -139,7 +139,7 @@ def local_betweenness(near: dict) -> dict[tuple, float]:
     return dict(total)
 
 
-def edge_betweenness(edges: DataFrame, *, broadcast_edges: int = 1_000_000) -> DataFrame:
+def edge_betweenness(edges: DataFrame, *, broadcast_edges: int = 200_000) -> DataFrame:
     """``(src, dst, betweenness)``: shortest paths over each edge, each pair of vertices once, ties in parts.
 
     Up to ``broadcast_edges`` edges the graph itself is sent to all tasks, which share out the
@@ -273,8 +273,9 @@ def girvan_newman(edges: DataFrame, *, component_edges: int = 20_000) -> tuple[D
     partitions on the way into components the best is kept, of equals the first.
     Nothing that happens in one component changes another, so each component's course
     of cuts is found by itself, all in parallel, and the courses are then interleaved by
-    betweenness. A component of more than ``component_edges`` edges is refused: one task
-    would have to hold it.
+    betweenness, on the driver, which gets two numbers a cut, not edges. A component of
+    more than ``component_edges`` edges is refused: one task would have to hold it, and
+    the method takes time with the square of the edges.
     """
     edges = cut_lineage(edges.select("src", "dst"))
     total = edges.count()

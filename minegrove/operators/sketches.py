@@ -17,9 +17,15 @@ BLOOM = {"prime": 114_514, "slots": 69_997, "functions": 7}
 DISTINCT = {"prime": 69_997, "slots": 1_919, "functions": 7}
 
 
-def hashes(value: str | Column, prime: int, slots: int, functions: int) -> list[Column]:
-    number = bytes_modulo(value, prime)
-    return [linear_hash(number, a, b, prime, slots) for a, b in coefficients(functions)]
+def hashes(number: str, prime: int, slots: int, functions: int) -> list[Column]:
+    """The hash functions over a column that holds a value's bytes modulo ``prime``."""
+    return [linear_hash(F.col(number), a, b, prime, slots) for a, b in coefficients(functions)]
+
+
+def with_bits(df: DataFrame, prime: int, slots: int, functions: int) -> DataFrame:
+    """A row for each value and each of its bits; the bytes are folded once for all functions."""
+    folded = df.withColumn("_x", bytes_modulo("value", prime))
+    return folded.withColumn("bit", F.explode(F.array(*hashes("_x", prime, slots, functions)))).drop("_x")
 
 
 def batched(df: DataFrame, value: str, order: str, size: int) -> DataFrame:
@@ -38,7 +44,7 @@ def bloom_rates(stream: DataFrame, *, prime: int = 114_514, slots: int = 69_997,
     """
     values = stream.where(F.col("value").isNotNull()).groupBy("value", "batch").agg(F.count("*").alias("n"))
     first = values.groupBy("value").agg(F.min("batch").alias("first"))
-    bits = first.select("value", "first", F.explode(F.array(*hashes("value", prime, slots, functions))).alias("bit"))
+    bits = with_bits(first, prime, slots, functions)
     set_at = bits.groupBy("bit").agg(F.min("first").alias("set_at"))
     ready = bits.join(set_at, "bit").groupBy("value").agg(F.max("set_at").alias("ready"), F.first("first").alias("first"))
     tested = values.join(ready, "value")
@@ -64,8 +70,10 @@ def distinct_estimates(stream: DataFrame, *, prime: int = 69_997, slots: int = 1
 
     The mean over the functions of 2^R, R the most trailing zeros; halves round to even.
     """
-    zeros = [F.max(trailing_zeros(h)).alias(f"_r{i}") for i, h in enumerate(hashes("value", prime, slots, functions))]
-    maxima = stream.where(F.col("value").isNotNull()).groupBy("batch").agg(F.count_distinct("value").alias("truth"), *zeros)
+    zeros = [F.max(trailing_zeros(h)).alias(f"_r{i}") for i, h in enumerate(hashes("_x", prime, slots, functions))]
+    values = stream.where(F.col("value").isNotNull()).select("batch", "value").distinct()
+    folded = values.withColumn("_x", bytes_modulo("value", prime))
+    maxima = folded.groupBy("batch").agg(F.count("*").alias("truth"), *zeros)
     powers = sum((F.pow(F.lit(2.0), F.col(f"_r{i}")) for i in range(functions)), F.lit(0.0))
     return maxima.select("batch", "truth", F.bround(powers / functions).cast("bigint").alias("estimate"))
 

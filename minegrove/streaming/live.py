@@ -2,7 +2,7 @@
 
 Each micro-batch is one batch of the sketch: a query's trigger decides how many
 elements it has. State lives in tables of the shared folder between micro-batches,
-written anew under the batch's number, so that a batch run again after a failure
+under the number of the batch that wrote it, so that a batch run again after a failure
 starts from the same state and writes the same result.
 """
 
@@ -13,41 +13,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sketches import BLOOM, DISTINCT, distinct_estimates, draw, hashes
+from ..operators.sketches import BLOOM, DISTINCT, distinct_estimates, draw, with_bits
 
 Sink = Callable[[DataFrame, int], None]
 
 
-def _state(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
-    """The state before ``batch``."""
-    return spark.read.schema(schema).parquet(f"{folder}/{batch - 1}") if batch > 0 else spark.createDataFrame([], schema)
+def _added_before(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
+    """What all batches before this one added to a set kept in ``folder``."""
+    if batch == 0:
+        return spark.createDataFrame([], schema)
+    whole = spark.read.schema(f"{schema}, batch bigint").parquet(folder)
+    return whole.where(F.col("batch") < batch).drop("batch")
+
+
+def _add(new: DataFrame, folder: str, batch: int) -> None:
+    new.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
 
 def bloom_batch(folder: str, sink: Sink, *, value: str = "value") -> Sink:
     """For ``foreachBatch``: false-positive counts of each batch against a Bloom filter of all earlier ones.
 
-    State: the bits set and the values seen so far; a batch reads both by join.
+    State: the bits set and the values seen so far. A batch reads both by join, and
+    writes only the bits and values that it adds.
     """
-    bits_of = F.array(*hashes("value", **BLOOM))
 
     def run(batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
         values = batch_df.select(F.col(value).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
         values = values.persist()
-        set_bits = _state(spark, f"{folder}/bits", batch, "bit bigint")
-        seen = _state(spark, f"{folder}/values", batch, "value string")
-        bits = values.select("value", F.explode(bits_of).alias("bit"))
-        missing = bits.join(set_bits, "bit", "left_anti").select("value").distinct().withColumn("negative", F.lit(True))
-        known = seen.withColumn("known", F.lit(True))
-        tested = values.join(missing, "value", "left").join(known, "value", "left")
+        set_bits = _added_before(spark, f"{folder}/bits", batch, "bit bigint")
+        seen = _added_before(spark, f"{folder}/values", batch, "value string")
+        missing_bits = with_bits(values.select("value"), **BLOOM).join(set_bits, "bit", "left_anti")
+        negative = missing_bits.select("value").distinct().withColumn("negative", F.lit(True))
+        fresh = values.select("value").join(seen, "value", "left_anti").withColumn("fresh", F.lit(True))
+        tested = values.join(negative, "value", "left").join(fresh, "value", "left")
         counted = tested.agg(
-            F.coalesce(F.sum(F.when(F.col("negative").isNull() & F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("fp"),
+            F.coalesce(F.sum(F.when(F.col("negative").isNull() & F.col("fresh"), F.col("n"))), F.lit(0)).alias("fp"),
             F.coalesce(F.sum(F.when(F.col("negative"), F.col("n"))), F.lit(0)).alias("tn"),
         )
         rate = F.try_divide(F.col("fp").cast("double"), (F.col("fp") + F.col("tn")).cast("double"))
         sink(counted.select(F.lit(batch + 1).cast("bigint").alias("batch"), "fp", "tn", rate.alias("fpr")), batch)
-        set_bits.unionByName(bits.select("bit")).distinct().write.mode("overwrite").parquet(f"{folder}/bits/{batch}")
-        seen.unionByName(values.select("value")).distinct().write.mode("overwrite").parquet(f"{folder}/values/{batch}")
+        _add(missing_bits.select("bit").distinct(), f"{folder}/bits", batch)
+        _add(fresh.select("value"), f"{folder}/values", batch)
         values.unpersist()
 
     return run
@@ -66,13 +73,13 @@ def distinct_batch(sink: Sink, *, value: str = "value") -> Sink:
 def reservoir_batch(folder: str, sink: Sink, *, value: str = "value", order: str = "seq", size: int = 100) -> Sink:
     """For ``foreachBatch``: the reservoir after each batch; ``order`` numbers all elements from 1.
 
-    State: the slots and the count so far.
+    State: the slots and the count so far, a few rows written anew by each batch.
     """
     schema = "slot bigint, value string, seq bigint, n bigint"
 
     def run(batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
-        held = _state(spark, f"{folder}/slots", batch, schema)
+        held = spark.read.schema(schema).parquet(f"{folder}/slots/{batch - 1}") if batch else spark.createDataFrame([], schema)
         n = F.col("seq")
         rows = batch_df.select(F.col(order).cast("bigint").alias("seq"), F.col(value).alias("value"))
         enters = (n <= size) | (F.pmod(draw(n, 1), n) < size)
