@@ -67,6 +67,8 @@ NUMBERING = frozenset(
 CONTINUATIONS = frozenset("Ltd Inc Co Corp LLC LLP PLC Bros Jr Sr Esq PhD MD GmbH AG KG SA Cie Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split())
 #: Abbreviations of several letters with dots, as written without blanks: leaning ones; all others may close a sentence.
 LEANING_LETTERS = frozenset("e.g i.e E.G I.E z.B d.h u.a o.ä p.ej p.ex c.-à-d v.a i.d.R bzw.d".split())
+#: Parts of such abbreviations with more than one letter.
+LETTERED = frozenset("Ph Ed Sc Lit Eng".split())
 #: The same with blanks between the parts.
 LEANING_PARTS = frozenset({("p", "ej"), ("p", "ex"), ("z", "B"), ("d", "h"), ("u", "a"), ("e", "g"), ("i", "e"), ("v", "a"), ("i", "d"), ("d", "R")})
 CLOSING_PARTS = frozenset({("p", "m"), ("a", "m"), ("P", "M"), ("A", "M"), ("v", "Chr"), ("n", "Chr"), ("EE", "UU"), ("S", "A"), ("т", "д"), ("т", "п")})
@@ -219,7 +221,7 @@ for _i, (_o, _c) in enumerate(PAIRS):
         _KINDS_OF_PAIR[ord(_x)] = _i
 _BLANK_LINE = regex.compile(r"[ \t\r]*\n[ \t\r]*\n\s*")
 _CLOSED_MARK = regex.compile(
-    r"[\p{Sentence_Terminal}…‥⋯．](?P<c>(?:[" + regex.escape(CLOSERS) + r"]|[    ](?=[»›]))+)"
+    r"[\p{Sentence_Terminal}…‥⋯．](?P<c>(?:[" + regex.escape(CLOSERS) + r"]|[^\S\n]{1,3}(?=[»›]))+)"
 )
 _NOT_WORD = frozenset((SPACE, MARK, ELLIPSIS, DOT, OPEN, CLOSE, PAUSE, OTHER))
 
@@ -261,7 +263,7 @@ class _Batch:
         if direct == CAPITAL:
             if any(c in text[token:at] for c in "/\\@") or text.startswith("www.", token):
                 return OTHER
-            if text[at + 2] == "." and len(word) <= 3:
+            if text[at + 2] == "." and (len(word) == 1 or word in LETTERED):
                 return OTHER  # between the letters of an abbreviation
         after = text[nexts] if nexts < len(text) else "\0"
         if word.isdigit():
