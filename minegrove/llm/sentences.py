@@ -223,7 +223,11 @@ _BLANK_LINE = regex.compile(r"[ \t\r]*\n[ \t\r]*\n\s*")
 _CLOSED_MARK = regex.compile(
     r"[\p{Sentence_Terminal}…‥⋯．](?P<c>(?:[" + regex.escape(CLOSERS) + r"]|[^\S\n]{1,3}(?=[»›]))+)"
 )
-_NOT_WORD = frozenset((SPACE, MARK, ELLIPSIS, DOT, OPEN, CLOSE, PAUSE, OTHER))
+#: What stands before the St. of a street, unlike that of a saint.
+_STREET = regex.compile(r"(?<!\p{L})(?:on|at|to|from|of|near|off|along|down|up|the)\s\p{Lu}\p{L}+\s$")
+#: The neighbouring part of an abbreviation that is written with blanks.
+_PART_BEFORE = regex.compile(r"(?<!\p{L})(\p{L}+)\.\s{1,4}$")
+_PART_BEHIND = regex.compile(r"\s{1,4}(\p{L}+)\.")
 
 
 def _before(flags: np.ndarray) -> np.ndarray:
@@ -245,17 +249,14 @@ class _Batch:
         self.kind = KIND[self.code]
         self.names = names
 
-    def _word_before(self, at: int, start: int) -> str:
-        return self.text[start:at]
-
     def _dot(self, at: int, start: int, nexts: int) -> int:
         """What a lone dot is: MARK, CLOSING (-1) or nothing (OTHER)."""
-        text, kind = self.text, self.kind
+        text = self.text
         word = text[start:at]
         following = text[at + 1]
         direct = KIND[ord(following)]
         if not word:
-            return OTHER if direct in (LOWER, DIGIT) and following not in " \0" and direct != LOWER else MARK
+            return OTHER if direct == DIGIT else MARK
         caseless = direct == LOWER and not following.islower()
         if direct == DIGIT or (direct == LOWER and not caseless) or following in "ºª°":
             return OTHER  # within a number, an address or a file name
@@ -268,20 +269,15 @@ class _Batch:
         after = text[nexts] if nexts < len(text) else "\0"
         if word.isdigit():
             return OTHER if self._ordinal(word, at, start, nexts) else MARK
-        previous = ""
-        if start > 1 and text[start - 1] in " \t\n\r " and text[start - 2] == ".":
-            previous = text[max(0, start - 12) : start - 2].rpartition(" ")[2].rpartition("\n")[2].rpartition("\0")[2]
-        if previous:
-            if (previous, word) in LEANING_PARTS:
+        before = _PART_BEFORE.search(text[max(0, start - 16) : start])
+        if before:
+            if (before[1], word) in LEANING_PARTS:
                 return OTHER
-            if (previous, word) in CLOSING_PARTS:
+            if (before[1], word) in CLOSING_PARTS:
                 return -1
-        if following in "   ":
-            ahead = text[at + 2 : at + 8]
-            part = ahead[: next((i for i, c in enumerate(ahead) if KIND[ord(c)] not in (LOWER, CAPITAL)), len(ahead))]
-            dotted = text[at + 2 + len(part)] == "."
-            if dotted and ((word, part) in LEANING_PARTS or (word, part) in CLOSING_PARTS):
-                return OTHER
+        behind = _PART_BEHIND.match(text, at + 1)
+        if behind and ((word, behind[1]) in LEANING_PARTS or (word, behind[1]) in CLOSING_PARTS):
+            return OTHER
         if text[start - 1 : start] == ".":
             own = text[token:at].lstrip("".join(o for o, _ in PAIRS) + "-–—")
             if own in LEANING_LETTERS:
@@ -291,8 +287,7 @@ class _Batch:
         if word in LEANING:
             return OTHER
         if word == "St":
-            before = text[max(0, start - 2) : start - 1]
-            return -1 if before and (before.isalpha() or before.isdigit()) and text[token - 2].isalpha() and self._capitalised_before(start) else OTHER
+            return -1 if _STREET.search(text[max(0, start - 40) : start]) else OTHER
         if word in CLOSING:
             return self._shouted(at, token, nexts)
         if word in NUMBERING and KIND[ord(after)] == DIGIT:
@@ -303,10 +298,6 @@ class _Batch:
             return OTHER  # an initial
         return MARK
 
-    def _capitalised_before(self, start: int) -> bool:
-        words = self.text[max(0, start - 40) : start - 1].split()
-        return bool(words) and words[-1][:1].isupper()
-
     def _shouted(self, at: int, token: int, nexts: int) -> int:
         """Among words in capitals a capital shows nothing; the abbreviation then goes on."""
         ahead = regex.match(r"\p{L}+", self.text[nexts : nexts + 12])
@@ -319,7 +310,7 @@ class _Batch:
 
     def _ordinal(self, word: str, at: int, start: int, nexts: int) -> bool:
         text = self.text
-        if len(word) > 3 or text[at + 1] not in " \t\n\r ":
+        if len(word) > 3 or text[at + 1] not in " \t\n\r\u00a0":
             return False
         lead = text[max(0, start - 24) : start]
         inset = lead.rstrip(" \t")
@@ -333,7 +324,7 @@ class _Batch:
         if len(word) <= 2 and ahead and ahead[0] in MONTHS:
             return True
         words = lead.split()
-        return bool(words) and words[-1] in BEFORE_ORDINALS and lead[-1] in " \t\n\r "
+        return bool(words) and words[-1] in BEFORE_ORDINALS and lead[-1] in " \t\n\r\u00a0"
 
     def ends(self, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end (in the joined text) of all sentences."""

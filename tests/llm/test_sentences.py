@@ -12,6 +12,7 @@ CASES = {
     "plain": "It was dry.| Was it?| Yes!!!| No?!",
     "no space, lower case": "It was dry.|Next one.| So it did.|M. Oskeld saw the rug.|J. R. Quellan too.| meh.| got soup to go.| ok.",
     "abbreviations": "Dr. Quellan and Mrs. Dovrik sat at table No. 45.| They open at 7 a.m. and close at 9 p.m. on weekends.| We left at 9:30 p.m.| The sign fell.",
+    "streets": "It is on St. Quellan Ave. near the mill.| We met in St. Oskeld.| He lives on Main St.| The mill burned.",
     "firms": "She works for Hasperin Bros. Ltd. and it shows.| He left Oskeld Inc.| Then we paid.",
     "dates": "I ate there on Sat. and again on Aug. 31.| He came on Mon. Jan. 5 and left.",
     "initials": "Ask for J. R. Velmora at the bar.| The U.K. style stew.| Ph.D. students pay less.",
