@@ -43,7 +43,7 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
 
 def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
     """Betweenness of edges between users with six businesses or more in common."""
-    return G.edge_betweenness(_graph(spark, d, CLOSELY))
+    return G.edge_betweenness(_graph(spark, d, CLOSELY)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
@@ -87,11 +87,17 @@ QUERIES = {
     )
 }
 
-_GRAPH = f"""{V.EDGES},
-g as (select x.u as src, y.u as dst from e x join e y on x.b = y.b and x.u < y.u group by all having count(*) >= {SHARED}),
+
+
+def _graph_sql(least: int) -> str:
+    return f"""{V.EDGES},
+g as (select x.u as src, y.u as dst from e x join e y on x.b = y.b and x.u < y.u group by all having count(*) >= {least}),
 l as (select src as a, dst as b from g union all select dst, src from g)"""
 
 
+_GRAPH = _graph_sql(SHARED)
+
+
 def _propagation() -> str:
     steps = ["p0 as (select distinct a as id, a as label from l)"]
     for i in range(1, ROUNDS + 1):
@@ -114,6 +120,15 @@ k as (select a as id, count(*)::double as k from l group by a), m as (select cou
 s as (select component, sum(k) as sk, sum(k * k) as skk from k join c using (id) group by component),
 i as (select component, count(*) as e from g join c on c.id = src group by component)
 select coalesce(round(sum((2 * coalesce(e, 0) - (sk * sk - skk) / (2 * m)) / (2 * m)), 9), 0.0) as q from s left join i using (component), m""",
+    # of all shortest paths from s to t, those over the edge a - b
+    "edge_betweenness": f"""with recursive {_graph_sql(CLOSELY)},
+w as (select distinct a as s, a as v, 0 as d from l union select s, l.b, d + 1 from w join l on l.a = w.v where d < 40),
+t as (select s, v, min(d) as d from w group by s, v),
+p as (select s, v, d, 1.0::double as n from t where d = 0
+  union all select t.s, t.v, t.d, sum(p.n) from p join l on l.a = p.v join t on t.s = p.s and t.v = l.b and t.d = p.d + 1 group by t.s, t.v, t.d),
+x as (select least(l.a, l.b) as src, greatest(l.a, l.b) as dst, i.n * o.n / w.n as part
+  from l join p i on i.v = l.a join p o on o.s = l.b join p w on w.s = i.s and w.v = o.v and w.d = i.d + 1 + o.d)
+select src, dst, round(sum(part) / 2, 6) as betweenness from x group by src, dst""",
     "bfr_summaries": """with f as (select label, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings),
 d as (select label, i, count(*) as n, sum(x) as s, sum(x * x) as q from f group by label, i)
 select label, any_value(n) as n, list(round(s, 4) order by i) as sum, list(round(q, 4) order by i) as sumsq from d group by label""",
