@@ -72,6 +72,8 @@ LETTERED = frozenset("Ph Ed Sc Lit Eng".split())
 #: The same with blanks between the parts.
 LEANING_PARTS = frozenset({("p", "ej"), ("p", "ex"), ("z", "B"), ("d", "h"), ("u", "a"), ("e", "g"), ("i", "e"), ("v", "a"), ("i", "d"), ("d", "R")})
 CLOSING_PARTS = frozenset({("p", "m"), ("a", "m"), ("P", "M"), ("A", "M"), ("v", "Chr"), ("n", "Chr"), ("EE", "UU"), ("S", "A"), ("т", "д"), ("т", "п")})
+FIRST_PARTS = frozenset(a for a, _ in LEANING_PARTS | CLOSING_PARTS)
+SECOND_PARTS = frozenset(b for _, b in LEANING_PARTS | CLOSING_PARTS)
 MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Apr Jun Jul Aug Sep Sept Okt Nov Dez".split())
 #: Words after which a number with a dot is an ordinal.
 BEFORE_ORDINALS = frozenset("am Am im Im der Der die Die das Das den Den dem Dem des Des zum Zum zur Zur beim vom Vom ab Ab seit bis jeder jeden jede jedes vor nach".split())
@@ -223,6 +225,9 @@ _BLANK_LINE = regex.compile(r"[ \t\r]*\n[ \t\r]*\n\s*")
 _CLOSED_MARK = regex.compile(
     r"[\p{Sentence_Terminal}…‥⋯．](?P<c>(?:[" + regex.escape(CLOSERS) + r"]|[^\S\n]{1,3}(?=[»›]))+)"
 )
+_OPENERS = "".join(o for o, _ in PAIRS) + "-–—"
+_LETTERS = regex.compile(r"\p{L}+")
+_NEW_PARAGRAPH = regex.compile(r"\n[ \t\r]*\n[ \t\r]*$")
 #: What stands before the St. of a street, unlike that of a saint.
 _STREET = regex.compile(r"(?<!\p{L})(?:on|at|to|from|of|near|off|along|down|up|the)\s\p{Lu}\p{L}+\s$")
 #: The neighbouring part of an abbreviation that is written with blanks.
@@ -232,9 +237,9 @@ _PART_BEHIND = regex.compile(r"\s{1,4}(\p{L}+)\.")
 
 def _before(flags: np.ndarray) -> np.ndarray:
     """For each place the last place before it, or -1, where the flag is set."""
-    at = np.where(flags, np.arange(len(flags)), -1)
+    at = np.where(flags, np.arange(len(flags), dtype=np.int32), np.int32(-1))
     last = np.maximum.accumulate(at)
-    return np.concatenate([[-1], last[:-1]])
+    return np.concatenate([np.array([-1], np.int32), last[:-1]])
 
 
 class _Batch:
@@ -260,36 +265,35 @@ class _Batch:
         caseless = direct == LOWER and not following.islower()
         if direct == DIGIT or (direct == LOWER and not caseless) or following in "ºª°":
             return OTHER  # within a number, an address or a file name
-        token = max(text.rfind(c, max(0, at - 200), at) for c in " \n\t\r\0") + 1
         if direct == CAPITAL:
-            if any(c in text[token:at] for c in "/\\@") or text.startswith("www.", token):
+            token = text[self._token(at) : at]
+            if "/" in token or "\\" in token or "@" in token or token.startswith("www."):
                 return OTHER
             if text[at + 2] == "." and (len(word) == 1 or word in LETTERED):
                 return OTHER  # between the letters of an abbreviation
         after = text[nexts] if nexts < len(text) else "\0"
         if word.isdigit():
             return OTHER if self._ordinal(word, at, start, nexts) else MARK
-        before = _PART_BEFORE.search(text[max(0, start - 16) : start])
-        if before:
+        if word in SECOND_PARTS and (before := _PART_BEFORE.search(text[max(0, start - 16) : start])):
             if (before[1], word) in LEANING_PARTS:
                 return OTHER
             if (before[1], word) in CLOSING_PARTS:
                 return -1
-        behind = _PART_BEHIND.match(text, at + 1)
-        if behind and ((word, behind[1]) in LEANING_PARTS or (word, behind[1]) in CLOSING_PARTS):
-            return OTHER
+        if word in FIRST_PARTS and (behind := _PART_BEHIND.match(text, at + 1)):
+            if (word, behind[1]) in LEANING_PARTS or (word, behind[1]) in CLOSING_PARTS:
+                return OTHER
         if text[start - 1 : start] == ".":
-            own = text[token:at].lstrip("".join(o for o, _ in PAIRS) + "-–—")
+            own = text[self._token(at) : at].lstrip(_OPENERS)
             if own in LEANING_LETTERS:
                 return OTHER
             if own in CLOSING or all(0 < len(x) <= 2 and x.isalpha() for x in own.split(".")):
-                return self._shouted(at, token, nexts)
+                return self._shouted(at, nexts)
         if word in LEANING:
             return OTHER
         if word == "St":
             return -1 if _STREET.search(text[max(0, start - 40) : start]) else OTHER
         if word in CLOSING:
-            return self._shouted(at, token, nexts)
+            return self._shouted(at, nexts)
         if word in NUMBERING and KIND[ord(after)] == DIGIT:
             return OTHER
         if word.endswith(("str", "Str")) and len(word) > 3:
@@ -298,11 +302,19 @@ class _Batch:
             return OTHER  # an initial
         return MARK
 
-    def _shouted(self, at: int, token: int, nexts: int) -> int:
-        """Among words in capitals a capital shows nothing; the abbreviation then goes on."""
-        ahead = regex.match(r"\p{L}+", self.text[nexts : nexts + 12])
-        if ahead and ahead[0] in CONTINUATIONS:
+    def _token(self, at: int) -> int:
+        """Where the stretch without blanks begins that reaches to ``at``."""
+        text, least = self.text, max(0, at - 200)
+        return max(text.rfind(" ", least, at), text.rfind("\n", least, at), text.rfind("\t", least, at), text.rfind("\0", least, at)) + 1
+
+    def _shouted(self, at: int, nexts: int) -> int:
+        """Whether the abbreviation may close a sentence: not before the rest of a name.
+
+        Among words in capitals a capital shows nothing; the sentence then goes on.
+        """
+        if (ahead := _LETTERS.match(self.text, nexts)) and ahead[0] in CONTINUATIONS:
             return OTHER
+        token = self._token(at)
         following = self.text[nexts : nexts + 2]
         previous = self.text[max(0, token - 3) : token - 1]
         loud = len(following) == 2 == len(previous) and following.isupper() and previous.isupper()
@@ -314,13 +326,13 @@ class _Batch:
             return False
         lead = text[max(0, start - 24) : start]
         inset = lead.rstrip(" \t")
-        if not inset or inset.endswith("\0") or regex.search(r"\n[ \t\r]*\n[ \t\r]*$", inset):
+        if not inset or inset.endswith("\0") or _NEW_PARAGRAPH.search(inset):
             return True  # numbers a paragraph
         if lead[-1] in ".,:":
             return False
         if KIND[ord(text[nexts])] not in (LOWER, CAPITAL):
             return False
-        ahead = regex.match(r"\p{L}+", text[nexts : nexts + 12])
+        ahead = _LETTERS.match(text, nexts)
         if len(word) <= 2 and ahead and ahead[0] in MONTHS:
             return True
         words = lead.split()
@@ -330,7 +342,7 @@ class _Batch:
         """Begin and end (in the joined text) of all sentences."""
         text, kind, code = self.text, self.kind.copy(), self.code
         n = len(kind)
-        place = np.arange(n)
+        place = np.arange(n, dtype=np.int32)
         separator = np.zeros(n, bool)
         separator[self.separators] = True
         kind[separator] = SPACE
@@ -344,8 +356,8 @@ class _Batch:
         begins, finals = np.flatnonzero(first), np.flatnonzero(last)
         # dots that stand alone are looked at one by one
         break_before = _before(~solid) + 1
-        next_visible = np.full(n + 1, n - 1)
-        visible = np.where(kind != SPACE, place, n - 1)
+        next_visible = np.full(n + 1, n - 1, np.int32)
+        visible = np.where(kind != SPACE, place, np.int32(n - 1))
         next_visible[:-1] = np.minimum.accumulate(visible[::-1])[::-1]
         run = np.full(len(begins), S_FINAL, np.uint8)
         single_dot = (begins == finals) & (kind[begins] == DOT)
@@ -357,8 +369,8 @@ class _Batch:
             at = int(begins[i])
             found = self._dot(at, int(break_before[at]), int(next_visible[at + 1]))
             run[i] = S_FINAL if found == MARK else S_ABBREVIATION if found == -1 else S_PAD
-        dots = np.concatenate([[0], np.cumsum(kind == DOT)])
-        soft = np.concatenate([[0], np.cumsum(kind == ELLIPSIS)])
+        dots = np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == DOT, dtype=np.int32)])
+        soft = np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == ELLIPSIS, dtype=np.int32)])
         length = finals - begins + 1
         in_dots = dots[finals + 1] - dots[begins]
         in_soft = soft[finals + 1] - soft[begins]
@@ -367,8 +379,7 @@ class _Batch:
         for i in np.flatnonzero((begins == finals) & (kind[begins] == MARK) & solid[np.maximum(begins - 1, 0)]).tolist():
             at = int(begins[i])
             if text[at] == "?" and solid[at + 1]:
-                token = max(text.rfind(c, max(0, at - 200), at) for c in " \n\t\r\0") + 1
-                if "://" in text[token:at] or "/" in text[token:at]:
+                if "/" in text[self._token(at) : at]:
                     run[i] = S_PAD
             elif self.names and text[at] in "!?" and kind[at + 1] == SPACE and kind[next_visible[at + 1]] == CAPITAL:
                 if (text[int(break_before[at]) : at], text[at]) in self.names:
@@ -378,7 +389,7 @@ class _Batch:
         divided = separator.copy()
         blank = [m.start() for m in _BLANK_LINE.finditer(text)]
         divided[blank] = True
-        paragraph = np.cumsum(divided)
+        paragraph = np.cumsum(divided, dtype=np.int32)
 
         # what encloses, and what only seems to
         pair = _KINDS_OF_PAIR[code]
@@ -453,7 +464,7 @@ class _Batch:
         # each piece without the white space at its ends
         begin, end = cut[:-1], cut[1:]
         begin, end = begin[begin < n], end[begin < n]
-        last_visible = np.maximum.accumulate(np.where(kind != SPACE, place, -1))
+        last_visible = np.maximum.accumulate(np.where(kind != SPACE, place, np.int32(-1)))
         begin = next_visible[begin]
         end = last_visible[end - 1] + 1
         real = begin < end
@@ -476,25 +487,37 @@ def split_texts(
     return out
 
 
+def paragraphs(text: str, most: int) -> Iterator[tuple[int, str]]:
+    """The text in parts of about ``most`` characters, cut only at blank lines, where all states begin anew."""
+    base = 0
+    while len(text) - base > most and (line := _BLANK_LINE.search(text, base + most)):
+        yield base, text[base : line.start()]
+        base = line.start()
+    yield base, text[base:]
+
+
 def learn_names(
     documents: DataFrame, *, text: str = "text", min_count: int = 5, min_places: int = 2, share: float = 0.9, most: int = 100_000
 ) -> DataFrame:
     """Words with a mark that is part of a name (``word``, ``mark``), found in the whole corpus.
 
     Such a word nearly always (``share``) has the mark, and is then nearly always
-    followed by the same capitalised word, ``min_count`` times or more and after at least
-    ``min_places`` different words. A word that merely ends sentences has other marks or none elsewhere,
-    and is followed by what happens to come next. At most ``most`` names, the most frequent.
+    followed by the same capitalised word, ``min_count`` times or more and with at least
+    ``min_places`` different words after that. A word that merely ends sentences has other
+    marks or none elsewhere, and is followed by what happens to come next. At most
+    ``most`` names, the most frequent.
     """
-    pattern = r"(\S{0,12}\s\p{Lu}\p{L}+(?:[!?](?:\s{1,4}\p{Lu}\p{L}+)?)?)"
+    pattern = r"\s(\p{Lu}\p{L}+(?:[!?](?:\s{1,4}\p{Lu}\p{L}+(?:\W{1,3}\p{L}{1,12})?)?)?)"
     seen = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("s"))
-    parts = seen.select(
-        F.regexp_extract("s", r"^(\S*)\s", 1).alias("lead"),
-        F.regexp_extract("s", r"\s(\p{Lu}\p{L}+)", 1).alias("word"),
-        F.regexp_extract("s", r"\s\p{Lu}\p{L}+([!?])", 1).alias("mark"),
-        F.regexp_extract("s", r"[!?]\s+(\p{Lu}\p{L}+)$", 1).alias("next"),
+    counted = seen.groupBy("s").agg(F.count("*").alias("n"))
+    parts = counted.select(
+        F.regexp_extract("s", r"^(\p{L}+)", 1).alias("word"),
+        F.regexp_extract("s", r"^\p{L}+([!?])", 1).alias("mark"),
+        F.regexp_extract("s", r"[!?]\s+(\p{L}+)", 1).alias("next"),
+        F.regexp_extract("s", r"[!?]\s+\p{L}+\W+(\p{L}+)$", 1).alias("tail"),
+        "n",
     )
-    places = parts.groupBy("word", "mark", "next", "lead").agg(F.count("*").alias("n"))
+    places = parts.groupBy("word", "mark", "next", "tail").agg(F.sum("n").alias("n"))
     each = places.groupBy("word", "mark", "next").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
     named = F.when((F.col("mark") != "") & (F.col("next") != ""), F.struct("n", "places", "mark"))
     words = each.groupBy("word").agg(F.sum("n").alias("all"), F.max(named).alias("top"))
@@ -531,23 +554,27 @@ def split_sentences(
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = batch.column(0)
+            pieces = [
+                (row, base, piece)
+                for row, text in enumerate(batch.column(1).to_pylist())
+                if text
+                for base, piece in paragraphs(text, batch_chars)
+            ]
             at = 0
-            while at < len(ids):
+            while at < len(pieces):
                 upto, chars = at, 0
-                while upto < len(ids) and (upto == at or chars < batch_chars):
-                    chars += len(texts[upto] or "")
+                while upto < len(pieces) and (upto == at or chars < batch_chars):
+                    chars += len(pieces[upto][2])
                     upto += 1
-                part = _Batch([t or "" for t in texts[at:upto]], names)
-                begin, end = part.ends(chunk)
-                owner = np.searchsorted(part.separators, begin)
-                offset = part.starts[owner]
+                part = pieces[at:upto]
+                made = _Batch([p for _, _, p in part], names)
+                begin, end = made.ends(chunk)
+                owner = np.searchsorted(made.separators, begin)
+                rows = np.array([r for r, _, _ in part])[owner]
+                offset = (np.array([b for _, b, _ in part]) - made.starts)[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[at:upto], pa.int64()).take(pa.array(owner)),
-                        pa.array(begin - offset, pa.int64()),
-                        pa.array(end - offset, pa.int64()),
-                    ],
+                    [ids.take(pa.array(rows)), pa.array(begin + offset, pa.int64()), pa.array(end + offset, pa.int64())],
                     names=["doc_id", "sent_start", "sent_end"],
                 )
                 at = upto

@@ -59,7 +59,7 @@ def test_learned_names():
 
 
 def test_names_are_learned_from_the_corpus(spark):
-    rows = [(f"I {v} Zing! Noodles on Monday. What a day! The end. So many Minutes? {n} it was.",) for v in ("like", "love", "know") for n in ("Yes", "Well", "Oh")]
+    rows = [(f"I like Zing! Noodles {v} much. What a day! The end. So many Minutes? {n} it was.",) for v in ("so", "too", "very") for n in ("Yes", "Well", "Oh")]
     df = spark.createDataFrame(rows + [(None,), ("",)], "text string")
     assert [(r["word"], r["mark"]) for r in S.learn_names(df).collect()] == [("Zing", "!")]
     assert S.learn_names(df.limit(0)).count() == 0
@@ -102,6 +102,14 @@ def test_very_long_text():
     assert len(S.split_texts(["a" * 300_000 + "(" * 1000])[0]) == 1
 
 
+def test_long_texts_are_cut_at_blank_lines(spark):
+    text = "\n\n".join(f"1. He said “{i}. So.” and left\nthe bar... That was {i}" for i in range(300)) + "(" * 50
+    want = [(7, a, b) for a, b in S.split_texts([text])[0]]
+    df = spark.createDataFrame([(7, text)], "doc_id int, text string")
+    assert sorted(map(tuple, S.split_sentences(df, batch_chars=100).collect())) == want
+    assert len(list(S.paragraphs(text, 100))) > 50
+
+
 def test_in_spark(spark):
     rows = [(1, "A b. C d."), (2, None), (3, ""), (4, " \t\r\n "), (1, "A b. C d."), (None, "x")]
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id bigint, text string, sent_start int")
