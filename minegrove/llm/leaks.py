@@ -7,13 +7,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 _DROPPED = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+_KEPT = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _CLUSTER = regex.compile(r"\X")
 _WORD = regex.compile(r"\s+|\S+")
+_ALL = regex.compile(r"(?s:.+)")
 LEAKS = "doc_id bigint, item_id bigint, run bigint, runs bigint, text_start bigint, text_end bigint"
 
 
@@ -22,26 +25,21 @@ def normalise(text: str) -> str:
     return _DROPPED.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
-def normalise_with_offsets(text: str) -> tuple[str, list[int], list[int]]:
+def normalise_with_offsets(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     """The normalised text and, for each of its characters, where its source begins and ends in ``text``."""
     whole = unicodedata.normalize("NFKC", text)
-    for cutter in (_CLUSTER, _WORD):
-        # pieces that normalise on their own: grapheme clusters, or else whole words
-        pieces = [(m.start(), m.end(), unicodedata.normalize("NFKC", m[0])) for m in cutter.finditer(text)]
-        if sum(len(p) for _, _, p in pieces) == len(whole):
-            break
-    else:
-        pieces = [(0, len(text), whole)]
-    starts: list[int] = []
-    ends: list[int] = []
-    for begin, end, piece in pieces:
-        for char in piece:
-            width = len(char.lower())
-            starts += [begin] * width
-            ends += [end] * width
     lowered = whole.lower()
-    kept = [i for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", lowered) for i in range(m.start(), m.end())]
-    return "".join(lowered[i] for i in kept), [starts[i] for i in kept], [ends[i] for i in kept]
+    for cutter in (_CLUSTER, _WORD, _ALL):
+        # pieces that normalise on their own: grapheme clusters, or else words, or else the text
+        spans = np.array([m.span() for m in cutter.finditer(text)], np.int64).reshape(-1, 2)
+        pieces = [unicodedata.normalize("NFKC", text[a:b]) for a, b in spans.tolist()]
+        if "".join(pieces) == whole:
+            break
+    widths = np.array([len(p.lower()) for p in pieces], np.int64)
+    kept = np.zeros(len(lowered), bool)
+    for m in _KEPT.finditer(lowered):
+        kept[m.start() : m.end()] = True
+    return _DROPPED.sub("", lowered), np.repeat(spans[:, 0], widths)[kept], np.repeat(spans[:, 1], widths)[kept]
 
 
 @dataclass(frozen=True)
@@ -172,7 +170,7 @@ def find_leaks(
                     _, starts, ends = normalise_with_offsets(own)
                     for index, runs in found.items():
                         n, at = runs[0]
-                        rows.append((doc, items.ids[index], n, len(runs), starts[at], ends[at + n - 1]))
+                        rows.append((doc, items.ids[index], n, len(runs), int(starts[at]), int(ends[at + n - 1])))
                 names = ["doc_id", "item_id", "run", "runs", "text_start", "text_end"]
                 columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -46,7 +46,7 @@ def test_offsets(text):
     assert made == normalise(text)
     assert len(starts) == len(ends) == len(made)
     assert all(0 <= s < e <= len(text) for s, e in zip(starts, ends))
-    assert starts == sorted(starts)
+    assert all(a <= b for a, b in zip(starts, starts[1:]))
 
 
 ITEM = "The visiting auctioneer never compares ninety ash-grey turnips until the kettle whistles; instead, a proud sommelier measures thirty napkins."
