@@ -71,6 +71,7 @@ def eager_join_aggregate(
     Returns the groups, ``n_rows`` (rows the plain join would have), and for each
     measure ``sum_<m>`` and ``count_<m>`` over those rows: a measure of one side counts
     once for each partner of its row, so its state is multiplied by the partner's count.
+    Counts, and sums of whole numbers, are decimals: products of counts outgrow a bigint.
     Groups may be null; a measure that is always null has a null sum and count 0.
     """
     states = eager_join_states(
@@ -84,10 +85,13 @@ def eager_join_aggregate(
         right_rows_bound=right_rows_bound,
     )
     sums = [F.sum(F.col("n_left").cast(WIDE) * F.col("n_right")).cast(WIDE).alias("n_rows")]
+    whole = {f.name for f in states.schema if f.dataType.simpleString() == "bigint"}
     for measures, other in ((left_measures, "n_right"), (right_measures, "n_left")):
         for m in measures:
+            own = F.col(f"sum_{m}").cast(WIDE) if f"sum_{m}" in whole else F.col(f"sum_{m}")
+            times = F.sum(own * F.col(other))
             sums += [
-                F.sum(F.col(f"sum_{m}") * F.col(other)).alias(f"sum_{m}"),
+                (times.cast(WIDE) if f"sum_{m}" in whole else times).alias(f"sum_{m}"),
                 F.sum(F.col(f"count_{m}").cast(WIDE) * F.col(other)).cast(WIDE).alias(f"count_{m}"),
             ]
     return states.groupBy(*left_groups, *right_groups).agg(*sums)

@@ -48,12 +48,19 @@ def test_eager_aggregate_is_the_joined_aggregate(spark):
     )
     for bound in (None, 10):
         got = eager_join_aggregate(left, right, ["k"], left_groups=["g"], right_groups=["h"], left_measures=["x"], right_measures=["y"], right_rows_bound=bound)
-        cast = {c: F.col(c).cast("bigint") for c in ("n_rows", "count_x", "count_y")}
+        cast = {c: F.col(c).cast("bigint") for c in ("n_rows", "count_x", "count_y", "sum_y")}
         assert rows(got.withColumns(cast), *plain.columns) == rows(plain, *plain.columns)
     empty = eager_join_aggregate(left.limit(0), right, ["k"], left_groups=["g"], left_measures=["x"])
     assert empty.count() == 0
 
 
+def test_sums_beyond_a_bigint(spark):
+    left = spark.createDataFrame([("a", 2**62)] * 3, "k string, x bigint").withColumn("x", F.when(F.col("x") > 0, F.lit(2**61)))
+    right = spark.createDataFrame([("a",)] * 9, "k string")
+    got = eager_join_aggregate(left, right, ["k"], left_measures=["x"]).first()
+    assert int(got["sum_x"]) == 27 * 2**61 and int(got["n_rows"]) == 27
+
+
 def test_once_per_id(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "a", 3), (2, None, 1), (None, "n", 1), (None, "n", 1)], "id int, a string, b int")
     assert rows(once_per_id(df, "id"), "id", "a", "b") == sorted([(1, "a", 3), (2, None, 1), (None, "n", 1), (None, "n", 1)], key=str)
