@@ -221,7 +221,7 @@ _KINDS_OF_PAIR = np.full(0x110000, -1, np.int8)
 for _i, (_o, _c) in enumerate(PAIRS):
     for _x in _o + _c:
         _KINDS_OF_PAIR[ord(_x)] = _i
-_BLANK_LINE = regex.compile(r"[ \t\r]*\n[ \t\r]*\n\s*")
+_BLANK_LINE = regex.compile(r"\n[ \t\r]*\n\s*")
 _CLOSED_MARK = regex.compile(
     r"[\p{Sentence_Terminal}…‥⋯．](?P<c>(?:[" + regex.escape(CLOSERS) + r"]|[^\S\n]{1,3}(?=[»›]))+)"
 )

@@ -100,6 +100,8 @@ def test_very_long_text():
     spans = S.split_texts([text])[0]
     assert len(spans) == 3 * 20_000
     assert len(S.split_texts(["a" * 300_000 + "(" * 1000])[0]) == 1
+    for filler in (" ", "\n", "\r\n", "\t \n", ".", "“", "a.", "! "):
+        S.split_texts([filler * 200_000 + "x"])
 
 
 def test_long_texts_are_cut_at_blank_lines(spark):
