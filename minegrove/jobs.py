@@ -64,6 +64,21 @@ def cities(spark: SparkSession, reviews: str, businesses: str, out: str) -> None
     sinks.write_csv(averages.select("city", "stars"), out, line_end="\r", one_file=True)
 
 
+def city_timings(spark: SparkSession, reviews: str, businesses: str, out: str, *, k: int = 10) -> None:
+    """Seconds to the best cities by sorting on the driver (m1) and by a distributed top-k (m2); one JSON object.
+
+    Sorting on the driver brings all averages there, one a city; the top-k brings ``k`` of each task.
+    """
+    places = files.json_lines(spark, businesses, files.BUSINESSES)
+    averages = relational.average_by_group(_reviews(spark, reviews), places, key="business_id", value="stars", group="city")
+    begun = time.perf_counter()
+    one = sorted(averages.collect(), key=lambda r: (-r["stars"], r["city"]))[:k]
+    between = time.perf_counter()
+    two = averages.limit(k).collect()
+    report = {"m1": between - begun, "m2": time.perf_counter() - between, "same": one == two}
+    sinks.write_lines(spark.createDataFrame([(json.dumps(report),)], "value string"), out, one_file=True)
+
+
 def _itemset_report(pairs: DataFrame, support: int, out: str) -> None:
     found = itemsets.frequent_itemsets(pairs, support)
     sinks.write_csv(sinks.itemset_lines(found), out, one_file=True)
@@ -195,6 +210,7 @@ JOBS = {
         explore,
         partitions,
         cities,
+        city_timings,
         frequent,
         frequent_products,
         similar,

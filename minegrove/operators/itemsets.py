@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +85,6 @@ def son_candidates(pairs: DataFrame, support: int, total: int, *, max_size: int
     for exact results use ``frequent_itemsets``. A partition's baskets are held in its
     worker's memory.
     """
-    from itertools import combinations
-    from math import ceil
-
-    import pandas as pd
-
     def local(frames):
         own: dict[str, set] = {}
         for frame in frames:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A prime above all slots of the hash family.
@@ -32,7 +32,7 @@ class HashFamily:
         return out
 
 
-def token_number(column: str) -> F.Column:
+def token_number(column: str) -> Column:
     """A number below PRIME for a token, by the digits of its MD5 (the same in other engines)."""
     return F.pmod(F.conv(F.substring(F.md5(F.col(column).cast("binary")), 1, 12), 16, 10).cast("bigint"), F.lit(PRIME))
 

@@ -12,6 +12,7 @@ from ..functions.ids import clean_id
 from ..operators import itemsets as I
 from ..operators import recommend as C
 from ..operators import similarity as S
+from ..operators.relational import error_report
 from ..sources import table
 from . import views as V
 
@@ -118,16 +119,12 @@ def cf_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def rmse_error_histogram(spark: SparkSession, d: str) -> DataFrame:
     """How far those predictions are off."""
-    report = C_error(_by_items(spark, d), V.targets(spark, d))
+    report = error_report(
+        _by_items(spark, d), V.targets(spark, d), ["user", "item"], predicted="prediction", actual="stars"
+    )
     return report.withColumn("rmse", F.round("rmse", 6))
 
 
-def C_error(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    from ..operators.relational import error_report
-
-    return error_report(predictions, truth, ["user", "item"], predicted="prediction", actual="stars")
-
-
 def _features(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     users = table(spark, d, "yelp_user").select(
         clean_id("user_id").alias("user"), F.col("review_count").alias("reviews"), F.col("average_stars").alias("stars")

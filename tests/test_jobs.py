@@ -55,6 +55,8 @@ def test_exploration(spark, inputs, tmp_path):
     assert report["customized"]["n_items"][ord("b") % 4] == len(rated)
     run(spark, "cities", d / "review.json", d / "business.json", tmp_path / "c")
     rows = table_of(tmp_path / "c")
+    run(spark, "city-timings", d / "review.json", d / "business.json", tmp_path / "t")
+    assert json.loads(text_of(tmp_path / "t"))["same"]
     assert len(rows) == 3 and sorted(rows, key=lambda r: -float(r["stars"])) == rows
 
 
@@ -112,4 +114,4 @@ def test_clusters(spark, inputs, tmp_path):
 
 def test_every_job_has_arguments():
     assert {a.dest for a in parser()._actions} >= {"job"}
-    assert len(JOBS) == 16
+    assert len(JOBS) == 17

@@ -1,5 +1,3 @@
-from datetime import date  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from minegrove.functions.ids import clean_id, leading_year, month_of
