@@ -44,10 +44,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every business of five users or more: its class of equal sets, and the links of that class."""
     made = _business_sets(spark, d)
-    ends = made.links().select(F.explode(F.array("id_1", "id_2")).alias("class_id"))
+    ends = made.all_links().select(F.explode(F.array("id_1", "id_2")).alias("class_id"))
     counted = ends.groupBy("class_id").agg(F.count("*").alias("links"))
     return (
-        made.classes()
+        made.all_classes()
         .join(counted, "class_id", "left")
         .select(
             F.col("id").alias("business_id"),

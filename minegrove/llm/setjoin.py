@@ -195,7 +195,7 @@ class SimilarSets:
         return ends & fits & (F.col("side_1") != F.col("side_2")) if self.cross else ends & fits
 
     def links(self) -> DataFrame:
-        """Similar pairs of class representatives: ``side``, ``id``, ``size`` of both, and ``overlap``."""
+        """Similar pairs of class representatives in a row: ``side``, ``id``, ``size`` of both, and ``overlap``."""
         # materialised, so that the comparison is planned by the number of candidates there really are
         candidates = cut_lineage(self._by_subset().unionByName(self._by_list()).distinct())
         one = _renamed(self.reps.select("side", "id", "tokens", "size"), 1, "tokens", "size")
@@ -209,12 +209,39 @@ class SimilarSets:
         )
 
     def classes(self) -> DataFrame:
-        """``(side, id, size, class_id)`` of every set in a row."""
+        """``(side, id, size, class_id)`` of every set that stands in a row."""
         several = self.reps.where(F.col("members") > 1).select("side", "tokens", F.col("id").alias("class_id"))
         return self.sets.join(several, ["side", "tokens"], "left").select(
             "side", "id", "size", F.coalesce("class_id", "id").alias("class_id")
         )
 
+    def _giant_classes(self) -> DataFrame:
+        """The same of the giants: of those of one size, equal are the ones that share as many values."""
+        keyed = self._rows.withColumn("_set", F.struct("side", "id"))
+        giants = self._giants.select(F.struct("side", "id").alias("_set"), "size")
+        rows = salted_join(keyed, giants, "_set", how="inner", spread=F.col("token")).drop("_set")
+        one, two = rows.withColumnRenamed("id", "id_1"), rows.withColumnRenamed("id", "id_2")
+        met = one.join(two, ["side", "size", "token"]).where(F.col("id_1") < F.col("id_2"))
+        shared = met.groupBy("side", "size", "id_1", "id_2").agg(F.count("*").alias("_n")).where(F.col("_n") == F.col("size"))
+        least = shared.groupBy("side", F.col("id_2").alias("id")).agg(F.min("id_1").alias("class_id"))
+        return self._giants.join(least, ["side", "id"], "left").select(
+            "side", "id", "size", F.coalesce("class_id", "id").alias("class_id")
+        )
+
+    def all_classes(self) -> DataFrame:
+        """``(side, id, size, class_id)`` of every set, however large."""
+        return self.classes().unionByName(self._giant_classes()) if self.has_giants else self.classes()
+
+    def all_links(self) -> DataFrame:
+        """``links`` of all classes, those of giants included."""
+        if not self.has_giants:
+            return self.links()
+        least = cut_lineage(self.all_classes().where(F.col("id") == F.col("class_id")).select("side", "id"))
+        far = self.giant_pairs()
+        for end in (1, 2):
+            far = far.join(_renamed(least, end), [f"side_{end}", f"id_{end}"], "left_semi")
+        return self.links().unionByName(far)
+
     def giant_pairs(self) -> DataFrame:
         """Pairs with a set too large for a row: inverted lists in full, overlaps counted."""
         keyed = self._rows.withColumn("_set", F.struct("side", "id"))

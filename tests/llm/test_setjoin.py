@@ -1,9 +1,11 @@
 import random
 from fractions import Fraction
+from functools import partial
 from itertools import combinations
 
 import pytest
 
+from minegrove.llm import queries
 from minegrove.llm.setjoin import SimilarSets, needed_overlap, small_limit
 
 
@@ -78,6 +80,38 @@ def test_between_two_tables(spark):
         assert set(got) == want
 
 
+@pytest.mark.parametrize("limit", [6, 25])
+def test_classes_and_links_of_giants(spark, limit):
+    rows = random_rows(1)
+    rows += [("copy", t) for b, t in rows if b == "s60"]
+    sets = {k: s for k, s in sets_of(rows).items() if len(s) >= 5}
+    made = SimilarSets(frame(spark, rows), "b", "u", min_size=5, array_limit=limit)
+    got = {r["id"]: (r["size"], r["class_id"]) for r in made.all_classes().collect()}
+    least = {a: min(b for b in sets if sets[b] == sets[a]) for a in sets}
+    assert got == {k: (len(s), least[k]) for k, s in sets.items()}
+    links = [(r["id_1"], r["id_2"], r["overlap"], r["size_1"], r["size_2"]) for r in made.all_links().collect()]
+    want = {
+        (a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))
+        for a, b in combinations(sorted(set(least.values())), 2)
+        if similar(sets[a], sets[b], Fraction(1, 2))
+    }
+    assert len(links) == len(want) and set(links) == want
+
+
+def test_classes_of_giants_in_two_tables(spark):
+    rows = random_rows(3, 40) + [("copy", f"t{i}") for i in range(90)]
+    made = SimilarSets(frame(spark, rows), "b", "u", frame(spark, rows), min_size=2, array_limit=20)
+    sets = {k: s for k, s in sets_of(rows).items() if len(s) >= 2}
+    want = {(side, a, min(b for b in sets if sets[b] == sets[a])) for side in (0, 1) for a in sets}
+    assert {(r["side"], r["id"], r["class_id"]) for r in made.all_classes().collect()} == want
+
+
+def test_p2_classes_has_giants(spark, data, monkeypatch):
+    want = sorted(queries.p2_classes(spark, data).collect())
+    monkeypatch.setattr(queries, "SimilarSets", partial(SimilarSets, array_limit=12))
+    assert sorted(queries.p2_classes(spark, data).collect()) == want
+
+
 def test_empty(spark):
     made = SimilarSets(frame(spark, []), "b", "u", threshold=Fraction(1, 2), min_size=5)
     assert made.pairs().count() == made.classes().count() == made.links().count() == 0
