@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, groupby
 from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_width
+
+#: The scaled support that the first pass of SON leaves to a partition, if the support allows.
+LEAST_SCALED = 10
 
 
 def baskets(df: DataFrame, basket: str, item: str, *, more_than: int = 0) -> DataFrame:
@@ -78,38 +81,46 @@ def frequent_itemsets(pairs: DataFrame, support: int, *, max_size: int | None =
     return found.select("items", "size", "n")
 
 
-def son_candidates(pairs: DataFrame, support: int, total: int, *, max_size: int = 3) -> DataFrame:
+def _as_bits(numbers: list[int], total: int) -> int:
+    """A set of numbers below ``total`` as the bits of one."""
+    out = bytearray(total // 8 + 1)
+    for n in numbers:
+        out[n >> 3] |= 1 << (n & 7)
+    return int.from_bytes(out, "little")
+
+
+def son_candidates(pairs: DataFrame, support: int, total: int, *, max_size: int | None = None) -> DataFrame:
     """The first pass of SON: itemsets frequent within a partition, by scaled support. ``items`` and ``size``.
 
     A superset of the frequent itemsets that depends on how baskets are partitioned;
     for exact results use ``frequent_itemsets``. A partition's baskets are held in its
-    worker's memory.
+    worker's memory; the loop ends when a level is empty. Where a partition's scaled
+    support is one, every subset of every basket is frequent: so there are no more
+    partitions than leave a scaled support of about ``LEAST_SCALED``.
     """
     def local(frames):
-        own: dict[str, set] = {}
+        numbers: dict = {}
+        seen: dict = {}
         for frame in frames:
             for b, i in zip(frame["basket"], frame["item"], strict=True):
-                own.setdefault(b, set()).add(i)
-        least = max(1, ceil(support * len(own) / total - 1e-9)) if total else 1
-        level: set[tuple] = set()
-        counts: dict[tuple, int] = {}
-        for items in own.values():
-            for i in items:
-                counts[(i,)] = counts.get((i,), 0) + 1
-        level = {c for c, n in counts.items() if n >= least}
-        found = sorted(level)
-        for size in range(2, max_size + 1):
-            counts = {}
-            singles = {i for c in level for i in c}
-            for items in own.values():
-                for c in combinations(sorted(items & singles), size):
-                    if all(c[:j] + c[j + 1 :] in level for j in range(size)):
-                        counts[c] = counts.get(c, 0) + 1
-            level = {c for c, n in counts.items() if n >= least}
-            if not level:
+                seen.setdefault(i, []).append(numbers.setdefault(b, len(numbers)))
+        least = max(1, ceil(support * len(numbers) / total - 1e-9)) if total else 1
+        # each set with the baskets that hold it
+        level = {(i,): _as_bits(own, len(numbers)) for i, own in seen.items() if len(own) >= least}
+        level = {c: own for c, own in level.items() if own.bit_count() >= least}
+        size = 1
+        while level:
+            yield pd.DataFrame({"items": [list(c) for c in level], "size": [size] * len(level)})
+            if size == max_size:
                 break
-            found += sorted(level)
-        yield pd.DataFrame({"items": [list(c) for c in found], "size": [len(c) for c in found]})
+            following: dict[tuple, int] = {}
+            for _, group in groupby(sorted(level), key=lambda c: c[:-1]):
+                for x, y in combinations(group, 2):
+                    own = level[x] & level[y]
+                    if own.bit_count() >= least:
+                        following[x + y[-1:]] = own
+            level, size = following, size + 1
 
     kind = dict(pairs.dtypes)["item"]
-    return pairs.repartition("basket").mapInPandas(local, f"items array<{kind}>, size int").distinct()
+    width = max(1, min(shuffle_width(pairs.sparkSession), support // LEAST_SCALED))
+    return pairs.repartition(width, "basket").mapInPandas(local, f"items array<{kind}>, size int").distinct()

@@ -53,10 +53,10 @@ def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def son_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Itemsets frequent in some partition by scaled support; depends on the partitions."""
+    """Itemsets of any size frequent in some partition by scaled support; depends on the partitions."""
     pairs = _small_baskets(spark, d)
     total = pairs.select("basket").distinct().count()
-    return I.son_candidates(pairs, max(1, ceil(total * SUPPORT_PERCENT / 100)), total, max_size=2)
+    return I.son_candidates(pairs, max(1, ceil(total * SUPPORT_PERCENT / 100)), total)
 
 
 def _large_sets(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from minegrove.operators import itemsets as I
 from minegrove.operators import recommend as C
 from minegrove.operators import similarity as S
+from minegrove.plans import mining
 
 
 def random_pairs(seed, ids=25, tokens=12, hot=True):
@@ -53,6 +54,29 @@ def test_frequent_itemsets(spark, rows):
         assert son >= {c for c in want if len(c) <= 3}
 
 
+def test_son_candidates_of_any_size(spark):
+    rng = random.Random(7)
+    sets = {f"s{i}": {f"t{t}" for t in range(8) if rng.random() < 0.8} | {f"t{rng.randrange(8, 20)}"} for i in range(200)}
+    pairs = spark.createDataFrame([(b, i) for b, s in sets.items() for i in s], "basket string, item string")
+    items = sorted({i for s in sets.values() for i in s})
+    want = {c for k in range(1, 8) for c in combinations(items, k) if sum(s.issuperset(c) for s in sets.values()) >= 40}
+    assert max(map(len, want)) > 4
+    made = I.son_candidates(pairs, 40, len(sets))
+    got = {tuple(r["items"]): r["size"] for r in made.collect()}
+    assert made.count() == len(got) and set(got) >= want
+    assert all(len(c) == size and list(c) == sorted(set(c)) for c, size in got.items())
+    capped = {tuple(r["items"]) for r in I.son_candidates(pairs, 40, len(sets), max_size=2).collect()}
+    assert capped == {c for c in got if len(c) <= 2}
+
+
+def test_son_query_holds_the_frequent_sets(spark, data):
+    pairs = mining._small_baskets(spark, data)
+    support = -(-pairs.select("basket").distinct().count() * mining.SUPPORT_PERCENT // 100)
+    want = {tuple(r["items"]) for r in I.frequent_itemsets(pairs, support).collect()}
+    assert max(map(len, want)) > 3
+    assert {tuple(r["items"]) for r in mining.son_candidates(spark, data).collect()} >= want
+
+
 def test_no_frequent_itemsets(spark, rows):
     pairs = I.baskets(frame(spark, rows), "id", "token")
     assert I.frequent_itemsets(pairs, 1000).count() == 0
