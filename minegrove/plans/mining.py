@@ -45,11 +45,20 @@ def _small_baskets(spark: SparkSession, d: str) -> DataFrame:
     return I.baskets(rows, "u", "b")
 
 
-def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    """Sets of up to three businesses in at least 5 % of the baskets."""
+def _frequent_itemsets(spark: SparkSession, d: str, max_size: int | None) -> DataFrame:
     pairs = _small_baskets(spark, d)
     support = max(1, ceil(pairs.select("basket").distinct().count() * SUPPORT_PERCENT / 100))
-    return I.frequent_itemsets(pairs, support, max_size=3)
+    return I.frequent_itemsets(pairs, support, max_size=max_size)
+
+
+def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of up to three businesses in at least 5 % of the baskets, as far as its SQL goes; ``all_frequent_itemsets`` has the rest."""
+    return _frequent_itemsets(spark, d, 3)
+
+
+def all_frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of any number of businesses in at least 5 % of the baskets."""
+    return _frequent_itemsets(spark, d, None)
 
 
 def son_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -168,6 +177,7 @@ QUERIES = {
         baskets_filtered,
         transaction_baskets,
         frequent_itemsets,
+        all_frequent_itemsets,
         son_candidates,
         jaccard_pairs,
         minhash_signature,

@@ -9,7 +9,7 @@ import pytest
 from minegrove.operators import itemsets as I
 from minegrove.operators import recommend as C
 from minegrove.operators import similarity as S
-from minegrove.plans import mining
+from minegrove.plans import mining, views
 
 
 def random_pairs(seed, ids=25, tokens=12, hot=True):
@@ -77,6 +77,25 @@ def test_son_query_holds_the_frequent_sets(spark, data):
     assert {tuple(r["items"]) for r in mining.son_candidates(spark, data).collect()} >= want
 
 
+def test_all_frequent_itemsets_against_brute_force(spark, data, duck):
+    ids = ", ".join(map(views.sql_id, ("user_id", "business_id")))
+    sets = sets_of(r for r in duck.sql(f"select {ids} from small2").fetchall() if None not in r)
+    least = -(-len(sets) * mining.SUPPORT_PERCENT // 100)
+    items = sorted({i for s in sets.values() for i in s})
+    want, level = {}, [()]
+    while level:
+        longer = [(*c, i) for c in level for i in items if not c or i > c[-1]]
+        counts = {c: sum(s.issuperset(c) for s in sets.values()) for c in longer}
+        level = [c for c, n in counts.items() if n >= least]
+        want |= {c: counts[c] for c in level}
+    assert max(map(len, want)) > 3
+    got = mining.all_frequent_itemsets(spark, data).collect()
+    assert len(got) == len(want)
+    assert {tuple(r["items"]): r["n"] for r in got} == want
+    upto_three = {tuple(r["items"]) for r in mining.frequent_itemsets(spark, data).collect()}
+    assert upto_three == {c for c in want if len(c) <= 3}
+
+
 def test_no_frequent_itemsets(spark, rows):
     pairs = I.baskets(frame(spark, rows), "id", "token")
     assert I.frequent_itemsets(pairs, 1000).count() == 0
