@@ -253,6 +253,9 @@ class _Batch:
         self.starts = self.separators - lengths
         self.kind = KIND[self.code]
         self.names = names
+        self.token_starts = _before(np.isin(self.code, [ord(c) for c in " \n\t\0"])) + 1
+        self.slashes = _before(self.code == ord("/"))
+        self.addressed = _before(np.isin(self.code, [ord(c) for c in "/\\@"]))
 
     def _dot(self, at: int, start: int, nexts: int) -> int:
         """What a lone dot is: MARK, CLOSING (-1) or nothing (OTHER)."""
@@ -266,8 +269,8 @@ class _Batch:
         if direct == DIGIT or (direct == LOWER and not caseless) or following in "ºª°":
             return OTHER  # within a number, an address or a file name
         if direct == CAPITAL:
-            token = text[self._token(at) : at]
-            if "/" in token or "\\" in token or "@" in token or token.startswith("www."):
+            token = self._token(at)
+            if self.addressed[at] >= token or text.startswith("www.", token, at):
                 return OTHER
             if text[at + 2] == "." and (len(word) == 1 or word in LETTERED):
                 return OTHER  # between the letters of an abbreviation
@@ -304,8 +307,7 @@ class _Batch:
 
     def _token(self, at: int) -> int:
         """Where the stretch without blanks begins that reaches to ``at``."""
-        text, least = self.text, max(0, at - 200)
-        return max(text.rfind(" ", least, at), text.rfind("\n", least, at), text.rfind("\t", least, at), text.rfind("\0", least, at)) + 1
+        return int(self.token_starts[at])
 
     def _shouted(self, at: int, nexts: int) -> int:
         """Whether the abbreviation may close a sentence: not before the rest of a name.
@@ -316,7 +318,7 @@ class _Batch:
             return OTHER
         token = self._token(at)
         following = self.text[nexts : nexts + 2]
-        previous = self.text[max(0, token - 3) : token - 1]
+        previous = self.text[max(0, token - 3) : token].rpartition("\0")[2][:-1]  # of the same text
         loud = len(following) == 2 == len(previous) and following.isupper() and previous.isupper()
         return OTHER if loud else -1
 
@@ -379,7 +381,7 @@ class _Batch:
         for i in np.flatnonzero((begins == finals) & (kind[begins] == MARK) & solid[np.maximum(begins - 1, 0)]).tolist():
             at = int(begins[i])
             if text[at] == "?" and solid[at + 1]:
-                if "/" in text[self._token(at) : at]:
+                if self.slashes[at] >= self._token(at):
                     run[i] = S_PAD
             elif self.names and text[at] in "!?" and kind[at + 1] == SPACE and kind[next_visible[at + 1]] == CAPITAL:
                 if (text[int(break_before[at]) : at], text[at]) in self.names:

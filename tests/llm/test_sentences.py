@@ -50,6 +50,22 @@ def test_cases(name):
     assert [text[a:b] for a, b in S.split_texts([text])[0]] == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["字" * 250 + "吗?好吗", "字" * 250 + "了.Then more.", "Inc. OK so", "X Inc. OK so", "a/b" + "字" * 250 + "吗?好吗"],
+)
+def test_other_texts_of_the_batch_change_nothing(text):
+    alone = S.split_texts([text])[0]
+    for before in ("See x/y", "Mail a@b.example OK", "C:\\x"):
+        assert S.split_texts([before, text, before])[1] == alone
+
+
+def test_a_token_may_be_longer_than_any_window():
+    far = "字" * 250
+    assert len(S.split_texts([f"{far}吗?好吗"])[0]) == 2
+    assert len(S.split_texts([f"a/b{far}吗?好吗"])[0]) == 1
+
+
 def test_learned_names():
     text = "I ate at Zing! Noodles on Monday. What a zing! Noodles are good."
     plain = [text[a:b] for a, b in S.split_texts([text])[0]]
