@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
@@ -25,7 +26,9 @@ class Reference:
 
     A key that is null throughout refers to nothing. With ``valid_from`` and
     ``valid_to`` a target row counts only at times in [from, to); a null bound is
-    open. A reference whose time is null asks only that the target has the key.
+    open. The time is then the last component of the key: it may be null by itself,
+    and is always matched partially, so a reference without a time asks only that
+    the target has the key.
     """
 
     name: str
@@ -50,14 +53,38 @@ def _versions(ref: Reference, columns: list[str]) -> DataFrame:
     )
 
 
+def _masks(columns: list[str], timed: bool) -> Iterator[tuple[list[str], bool]]:
+    """The ways in which a key may be null that refer to something: columns that are not null, and whether the time is."""
+    for there in product((True, False), repeat=len(columns)):
+        if any(there):
+            present = [c for c, one in zip(columns, there, strict=True) if one]
+            yield from ((present, with_time) for with_time in ((True, False) if timed else (False,)))
+
+
+def _of_mask(refs: DataFrame, columns: list[str], present: list[str], at: str | None, with_time: bool) -> DataFrame:
+    """The references of one null mask."""
+    wanted = [F.col(c).isNotNull() if c in present else F.col(c).isNull() for c in columns]
+    if at is not None:
+        wanted.append(F.col(at).isNotNull() if with_time else F.col(at).isNull())
+    return refs.where(reduce(lambda a, b: a & b, wanted))
+
+
+def _one_key(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``_key``: a single column as it is, several as a struct."""
+    parts = [F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]
+    return df.withColumn("_key", F.struct(*parts) if len(parts) > 1 else F.col(columns[0]))
+
+
 def orphan_references(
-    refs: DataFrame, ref: Reference, *, row_id: str, at: str | None = None, hot_share: float = 0.01
+    refs: DataFrame, ref: Reference, *, row_id: str, at: str | None = None, hot_share: float | None = None
 ) -> DataFrame:
     """Rows of ``refs`` whose reference finds no target row, whole, with ``ref_table``.
 
-    References are grouped by which key columns are null; each group is anti-joined
-    on its other columns, under the declared match. The rows of keys that hold more
-    than ``hot_share`` of a group are spread over all tasks by ``row_id``.
+    References are grouped by null mask, that is by which components of their key are
+    null, the time ``at`` among them; each group is anti-joined on the components it
+    has, under the declared match. A group without times needs the target's distinct
+    keys only, one with times their spans of validity. The rows of keys that hold more
+    than ``hot_share`` of a group are spread over several tasks by ``row_id``.
 
     Repeated rows of ``refs`` stay repeated; repeated target rows change nothing.
     An empty target makes every reference an orphan, empty ``refs`` give no rows.
@@ -66,38 +93,27 @@ def orphan_references(
     if ref.match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match: {ref.match}")
     columns = list(ref.keys)
+    timed = at is not None and bool(ref.valid_from or ref.valid_to)
     found: list[DataFrame] = []
-    for mask in product((True, False), repeat=len(columns)):
-        present = [c for c, there in zip(columns, mask, strict=True) if there]
-        if not present or (len(present) < len(columns) and ref.match == "simple"):
+    for present, with_time in _masks(columns, timed):
+        partly = len(present) < len(columns)
+        if partly and ref.match == "simple":
             continue
-        wanted = reduce(
-            lambda a, b: a & b,
-            (F.col(c).isNotNull() if there else F.col(c).isNull() for c, there in zip(columns, mask, strict=True)),
-        )
-        group = refs.where(wanted)
-        if len(present) < len(columns) and ref.match == "full":
+        group = _of_mask(refs, columns, present, at if timed else None, with_time)
+        if partly and ref.match == "full":
             found.append(group)
             continue
-        versions = _versions(ref, present)
+        targets = [f"_t{i}" for i in range(len(present))]
+        versions = _one_key(_versions(ref, present), targets).drop(*targets)
         condition = None
-        if at is not None and (ref.valid_from or ref.valid_to):
-            begun = F.col("_from").isNull() | (F.col("_from") <= F.col(at))
-            going = F.col("_to").isNull() | (F.col(at) < F.col("_to"))
-            condition = F.col(at).isNull() | (begun & going)
-        if len(present) == 1:
-            # a single key column joins as it is
-            group = group.withColumn("_key", F.col(present[0]))
-            versions = versions.withColumnRenamed("_t0", "_key")
+        if with_time:
+            condition = (F.col("_from").isNull() | (F.col("_from") <= F.col(at))) & (
+                F.col("_to").isNull() | (F.col(at) < F.col("_to"))
+            )
         else:
-            group = group.withColumn("_key", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(present)]))
-            versions = versions.withColumn(
-                "_key", F.struct(*[F.col(f"_t{i}").alias(f"k{i}") for i in range(len(present))])
-            ).drop(*[f"_t{i}" for i in range(len(present))])
-        if condition is None:
             versions = versions.select("_key").distinct()
         kept = salted_join(
-            group, versions, "_key", how="left_anti", spread=F.col(row_id), condition=condition, share=hot_share
+            _one_key(group, present), versions, "_key", how="left_anti", spread=F.col(row_id), condition=condition, share=hot_share
         )
         found.append(kept.drop("_key"))
     if not found:

@@ -91,3 +91,26 @@ def test_partial_match_uses_any_row_that_agrees(spark):
 def test_unknown_match(spark):
     with pytest.raises(ValueError):
         orphans(spark, [], [], match="fuzzy")
+
+
+def test_references_are_grouped_by_null_mask(spark):
+    """Those with a time and those without are joined apart, each without a condition on nulls of its key."""
+    refs = [(1, "b", at(2009), None), (2, "b", None, None), (3, "nobody", None, None), (4, None, None, None)]
+    _, found = orphans(spark, refs, TARGET)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    anti = [line for line in text.splitlines() if "Join LeftAnti" in line]
+    assert len(anti) == 2
+    assert sum("_from" in line for line in anti) == 1
+    assert not any("isnull(t#" in line for line in anti)
+    assert ids(found) == [1, 3]
+
+
+def test_composite_keys_with_times(spark):
+    refs = spark.createDataFrame(
+        [(1, "a", "x", at(2011)), (2, "a", None, at(2011)), (3, "a", None, at(2009)), (4, "a", "y", None), (5, "a", "x", None), (6, None, None, at(2011))],
+        "id bigint, k1 string, k2 string, t timestamp_ntz",
+    )
+    target = spark.createDataFrame([("a", "x", at(2010), None)], "k1 string, k2 string, f timestamp_ntz, e timestamp_ntz")
+    for match, wanted in (("simple", [4]), ("partial", [3, 4]), ("full", [2, 3, 4])):
+        ref = Reference("t", target, {"k1": "k1", "k2": "k2"}, match, "f", "e")
+        assert ids(orphan_references(refs, ref, row_id="id", at="t")) == wanted
