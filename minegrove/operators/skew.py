@@ -97,16 +97,41 @@ def eager_join_aggregate(
     return states.groupBy(*left_groups, *right_groups).agg(*sums)
 
 
+def shares_of_groups(
+    df: DataFrame, on: Sequence[str], groups: Sequence[str], *, measures: Sequence[str] = (), on_bound: int | None = None
+) -> DataFrame:
+    """``df JOIN df USING (on) GROUP BY on, groups`` without the join's rows, to tell each group's share.
+
+    Both inputs of the join are the same, so they are aggregated once, by ``on`` and
+    groups, and the other side's states, the rows of each ``on``, are rolled up from these.
+    The compact states are joined and their counts multiplied. Columns: ``on``, groups,
+    ``n_rows`` (rows of the group), ``n_pairs`` (rows the join would have for it),
+    ``n_all_pairs`` (for all groups of the ``on``: its rows squared; a group's share is the
+    quotient), and ``sum_<m>`` and ``count_<m>`` of each measure over the group's rows.
+
+    ``on_bound``: a proven bound on the values of ``on``, as ``right_rows_bound`` above. Rows
+    with a null in ``on`` are left out, null groups are groups, an empty table has none.
+    """
+    a = _states(df, on, groups, measures, "l")
+    b = a.groupBy(*on).agg(F.sum("_n_l").alias("_n_r"))
+    if on_bound is not None and on_bound <= 100_000:
+        b = F.broadcast(b)
+    n, total = F.col("_n_l").cast(WIDE), F.col("_n_r")
+    out = [F.col("_n_l").alias("n_rows"), (n * total).cast(WIDE).alias("n_pairs"), (total.cast(WIDE) * total).cast(WIDE).alias("n_all_pairs")]
+    for m in measures:
+        out += [F.col(f"_s_l_{m}").alias(f"sum_{m}"), F.col(f"_c_l_{m}").alias(f"count_{m}")]
+    return a.join(b, list(on)).select(*on, *groups, *out)
+
+
 def once_per_id(df: DataFrame, row_id: str) -> DataFrame:
     """One row for each ``row_id``, the least by its other columns; rows without id all stay.
 
-    The rows are hashed by id before anything is aggregated: an id seldom repeats, so
-    combining on the map side would only cost a second pass.
+    Rows are combined before the shuffle, so an id that is delivered a million times is
+    one row for each map task.
     """
     rest = [c for c in df.columns if c != row_id]
     least = (
         df.where(F.col(row_id).isNotNull())
-        .repartition(row_id)
         .groupBy(row_id)
         .agg(F.min(F.struct(*rest)).alias("_row"))
         .select(row_id, *[F.col("_row")[c].alias(c) for c in rest])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id, leading_year, month_of
 from ..operators.references import Reference, orphan_references, why_orphaned
-from ..operators.skew import eager_join_aggregate, eager_join_states, once_per_id, unpivot_keys
+from ..operators.skew import eager_join_aggregate, once_per_id, shares_of_groups, unpivot_keys
 from ..sources import table
 
 #: Years are four digits, so there are at most this many; times two fields.
@@ -69,31 +69,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Users and businesses that hold at least 5 % of a year's reviews."""
     reviews = once_per_id(_reviews(spark, d).drop("stars").where(F.col("year").isNotNull()), "review_id")
     keyed = unpivot_keys(reviews, ("business_id", "user_id"), keep=("year",))
-    states = eager_join_states(
-        keyed, keyed, ("field", "year"), left_groups=("key_value",), right_rows_bound=2 * YEARS
-    )
-    return states.where(F.col("n_left") * 20 >= F.col("n_right")).select("field", "key_value", "year")
+    shares = shares_of_groups(keyed, ("field", "year"), ("key_value",), on_bound=2 * YEARS)
+    return shares.where(F.col("n_pairs") * 20 >= F.col("n_all_pairs")).select("field", "key_value", "year")
 
 
 def p4_keys(spark: SparkSession, d: str) -> DataFrame:
     """Reviews and stars of every user and business in every year, and the share of the year's reviews."""
     reviews = once_per_id(_reviews(spark, d).where(F.col("year").isNotNull()), "review_id")
     keyed = unpivot_keys(reviews, ("business_id", "user_id"), keep=("year", "stars"))
-    states = eager_join_states(
-        keyed,
-        keyed.drop("stars"),
-        ("field", "year"),
-        left_groups=("key_value",),
-        left_measures=("stars",),
-        right_rows_bound=2 * YEARS,
-    )
-    return states.select(
+    shares = shares_of_groups(keyed, ("field", "year"), ("key_value",), measures=("stars",), on_bound=2 * YEARS)
+    return shares.select(
         "field",
         "key_value",
         "year",
-        F.col("n_left").alias("reviews"),
+        F.col("n_rows").alias("reviews"),
         F.col("sum_stars"),
-        (F.col("n_left") / F.col("n_right")).alias("share"),
+        (F.col("n_pairs").cast("double") / F.col("n_all_pairs").cast("double")).alias("share"),
     )
 
 

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from minegrove.functions.ids import clean_id, leading_year, month_of
 from minegrove.functions.skew import hot_keys, salted_join
-from minegrove.operators.skew import eager_join_aggregate, once_per_id, unpivot_keys
+from minegrove.operators.skew import eager_join_aggregate, once_per_id, shares_of_groups, unpivot_keys
 
 
 def rows(df, *columns):
@@ -35,6 +36,43 @@ def test_salted_join_is_the_join(spark):
         assert rows(got, *want.columns) == rows(want, *want.columns), how
 
 
+def test_both_sides_of_a_hot_key_are_dealt_out(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(60)] + [(999, None)], "id int, key string")
+    right = left.withColumnRenamed("id", "v")
+    want = left.join(right, "key").where("id < v")
+    got = salted_join(left, right, "key", how="inner", spread=F.col("id"), share=0.05, condition=F.col("id") < F.col("v"), right_spread=F.col("v"))
+    assert rows(got, *want.columns) == rows(want, *want.columns)
+    with pytest.raises(ValueError):
+        salted_join(left, right, "key", how="left", spread=F.col("id"), right_spread=F.col("v"))
+
+
+def test_parts_follow_the_key_and_not_the_cluster(spark):
+    df = spark.createDataFrame([("a",)] * 60 + [("b",)] * 30 + [("c",)] * 10, "k string")
+    assert rows(hot_keys(df, "k", 0.125), "k", "_parts") == [("a", 5), ("b", 3)]
+
+
+def test_shares_are_those_of_the_join(spark):
+    df = spark.createDataFrame([("y", "a", 1.0)] * 7 + [("y", None, 2.0)] * 2 + [("z", "a", None), ("z", "b", 1.0), (None, "a", 1.0)], "y string, k string, s double")
+    other = df.select("y")
+    plain = df.join(other, "y").groupBy("y", "k").agg(F.count("*").alias("n_pairs"))
+    got = shares_of_groups(df, ["y"], ["k"], measures=["s"])
+    cast = {c: F.col(c).cast("bigint") for c in ("n_pairs", "n_all_pairs")}
+    assert rows(got.withColumns(cast), "y", "k", "n_pairs") == rows(plain, "y", "k", "n_pairs")
+    assert rows(got.withColumns(cast), "y", "k", "n_rows", "n_all_pairs", "sum_s", "count_s") == sorted(
+        [("y", "a", 7, 81, 7.0, 7), ("y", None, 2, 81, 4.0, 2), ("z", "a", 1, 4, None, 0), ("z", "b", 1, 4, 1.0, 1)], key=str
+    )
+    assert shares_of_groups(df.limit(0), ["y"], ["k"], on_bound=5).count() == 0
+
+
+def test_one_id_in_a_third_of_all_rows(spark):
+    df = spark.range(0, 3000, 1, 6).selectExpr("if(id % 3 = 0, -1, id) as id", "cast(id % 3 as string) as a")
+    made = once_per_id(df, "id")
+    assert made.count() == 2001
+    text = made._jdf.queryExecution().executedPlan().toString()
+    # combined on both sides of the shuffle
+    assert text.count("partial_min") == 1
+
+
 def test_eager_aggregate_is_the_joined_aggregate(spark):
     left = spark.createDataFrame(
         [("a", "g1", 1.0, 0), ("a", "g1", None, 0), ("a", "g2", 3.0, 0), ("b", None, 4.0, 0), (None, "g1", 9.0, 0), ("lost", "g1", 5.0, 0)] + [("a", "g1", 2.0, 0)] * 50,
