@@ -82,9 +82,10 @@ def orphan_references(
 
     References are grouped by null mask, that is by which components of their key are
     null, the time ``at`` among them; each group is anti-joined on the components it
-    has, under the declared match. A group without times needs the target's distinct
-    keys only, one with times their spans of validity. The rows of keys that hold more
-    than ``hot_share`` of a group are spread over several tasks by ``row_id``.
+    has, under the declared match. A group without times needs the target's keys only,
+    one with times their spans of validity. The rows of keys that hold more than
+    ``hot_share`` of the references with these columns are spread over several tasks by
+    ``row_id``.
 
     Repeated rows of ``refs`` stay repeated; repeated target rows change nothing.
     An empty target makes every reference an orphan, empty ``refs`` give no rows.
@@ -111,9 +112,18 @@ def orphan_references(
                 F.col("_to").isNull() | (F.col(at) < F.col("_to"))
             )
         else:
-            versions = versions.select("_key").distinct()
+            versions = versions.select("_key")
+        # with and without times alike, so that the keys are counted once
+        counts = _one_key(_of_mask(refs, columns, present, None, False), present).groupBy("_key").agg(F.count("*").alias("_n"))
         kept = salted_join(
-            _one_key(group, present), versions, "_key", how="left_anti", spread=F.col(row_id), condition=condition, share=hot_share
+            _one_key(group, present),
+            versions,
+            "_key",
+            how="left_anti",
+            spread=F.col(row_id),
+            condition=condition,
+            share=hot_share,
+            counts=counts,
         )
         found.append(kept.drop("_key"))
     if not found:
