@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from fractions import Fraction
 from itertools import combinations
 from math import ceil, comb
@@ -28,24 +29,67 @@ def _similar(overlap: Column, a: Column, b: Column, threshold: Fraction) -> Colu
 
 
 def small_limit(min_size: int, threshold: Fraction, max_subsets: int) -> tuple[int, int]:
-    """Subset size, and the largest set size of which no more than ``max_subsets`` are listed."""
+    """The overlap that any two sets need, and the largest size of small sets.
+
+    Sets up to that size have at most ``max_subsets`` subsets of any overlap that they
+    need with each other.
+    """
     part = needed_overlap(min_size, min_size, threshold)
-    size = part
-    while comb(size + 1, part) <= max_subsets:
+    size = min_size
+    while all(comb(size + 1, needed_overlap(size + 1, b, threshold)) <= max_subsets for b in range(min_size, size + 2)):
         size += 1
     return part, size
 
 
-def _subset_keys(part: int, size: int) -> Column:
-    """Hashes of all subsets of ``part`` tokens of a set of ``size`` tokens."""
-    return F.array(
-        *[F.xxhash64(*[F.get("tokens", F.lit(i)) for i in chosen]) for chosen in combinations(range(size), part)]
-    )
+@dataclass(frozen=True)
+class Meeting:
+    """Sets of ``left`` sizes and of ``right`` sizes that share ``overlap`` tokens are similar, whichever they are."""
+
+    overlap: int
+    left: tuple[int, ...]
+    right: tuple[int, ...]
+
+    @property
+    def alike(self) -> bool:
+        return self.left == self.right
+
+
+def meetings(least: int, limit: int, threshold: Fraction) -> list[Meeting]:
+    """How small sets meet, so that each pair of sizes meets on subsets of the overlap it needs, and none on smaller ones.
+
+    For each overlap: the sizes any two of which need no more of it meet each other, and
+    each larger size meets the lesser ones with which it needs that much. So whatever
+    meets shares enough, and a subset that many sets have lists no pair in vain.
+    """
+    sizes = range(least, limit + 1)
+    pairs = {(a, b): needed_overlap(a, b, threshold) for a in sizes for b in sizes if needed_overlap(a, b, threshold) <= min(a, b)}
+    out = []
+    for overlap in sorted(set(pairs.values())):
+        within = [s for s in sizes if pairs.get((s, s), overlap + 1) <= overlap]
+        near = tuple(s for s in within if any(pairs.get((s, p)) == overlap for p in within))
+        if near:
+            out.append(Meeting(overlap, near, near))
+        for large in sizes:
+            lesser = tuple(a for a in sizes if a < large and large not in within and pairs.get((a, large)) == overlap)
+            if lesser:
+                out.append(Meeting(overlap, lesser, (large,)))
+    return out
+
+
+def _subset_keys(places: list[tuple[int, Meeting]], size: int) -> Column:
+    """For a set of ``size`` tokens, of each meeting it goes to: hashes of its subsets, and whether only unlike sizes meet there."""
+
+    def keys(number: int, meeting: Meeting) -> Column:
+        chosen = F.lit([list(c) for c in combinations(range(size), meeting.overlap)])
+        key = lambda c: F.xxhash64(F.lit(number), F.transform(c, lambda i: F.get("tokens", i)))
+        return F.transform(chosen, lambda c: F.struct(key(c).alias("key"), F.lit(not meeting.alike).alias("unlike")))
+
+    return F.concat(*[keys(number, meeting) for number, meeting in places])
 
 
 def _renamed(df: DataFrame, end: int, *columns: str) -> DataFrame:
-    """``side``, ``id`` and ``columns`` of one end of a pair; others as they are."""
-    return df.withColumnsRenamed({c: f"{c}_{end}" for c in ("side", "id", *columns)})
+    """``side``, ``id``, ``no`` and ``columns`` of one end of a pair; others as they are."""
+    return df.withColumnsRenamed({c: f"{c}_{end}" for c in ("side", "id", "no", *columns)})
 
 
 def _ordered(pairs: DataFrame, cross: bool, *columns: str) -> DataFrame:
@@ -86,14 +130,14 @@ class SimilarSets:
     none with sets of ``min_size``, gives no pairs.
 
     Sets that are equal form a class, of which the least id stands for all. A set is
-    *small* if it has few enough (``max_subsets``) subsets of the size that any two small
-    sets must share; small sets that share such a subset are candidates. A larger set
-    scans the inverted lists of its rarest tokens, as many as any partner must hit, for
-    partners of fitting size. Candidates are then compared whole, so neither hashes nor
+    *small* if it has few enough (``max_subsets``) subsets of each overlap that it needs
+    with other small sets. Small sets meet on the subsets of just the overlap that their
+    two sizes need (``meetings``), so all that meet are similar. A larger set scans the inverted lists of its rarest tokens, as many as any partner must hit, for partners
+    of fitting size. Candidates are then compared whole, so neither hashes nor
     the order of tokens decide a pair.
 
     Sets of more than ``array_limit`` values never stand in one row: their inverted lists
-    are scanned in full and overlaps counted. Each is its own class.
+    are scanned in full and overlaps counted. ``classes``, ``links`` and ``pairs`` have them too.
 
     The sets are materialised once, in the shared checkpoint folder, with values as numbers.
     """
@@ -127,7 +171,8 @@ class SimilarSets:
         self.has_giants = bool(self._giants.take(1))
         self.sets = cut_lineage(self._gather())
         alike = self.sets.groupBy("side", "tokens", "size").agg(F.min("id").alias("id"), F.count("*").alias("members"))
-        self.reps = cut_lineage(alike)
+        # numbered, to be short in the joins; the numbers stay, as they are materialised
+        self.reps = cut_lineage(alike.withColumn("no", F.monotonically_increasing_id()))
 
     def _gather(self) -> DataFrame:
         """``(side, id, tokens, size)``, tokens rarest first; as often, any fixed order will do."""
@@ -145,23 +190,46 @@ class SimilarSets:
             .select("side", "id", F.col("_t.token").alias("tokens"), F.size("_t").cast("bigint").alias("size"))
         )
 
+    def _listed(self, end: int, places: list[tuple[int, Meeting]]) -> DataFrame:
+        """``(key, no, side, unlike)`` of the small sets at one end of the meetings."""
+        keys = None
+        for size in range(self.min_size, self.limit + 1):
+            own = [(n, m) for n, m in places if size in (m.left if end == 1 else m.right)]
+            if own:
+                made = _subset_keys(own, size)
+                keys = F.when(F.col("size") == size, made) if keys is None else keys.when(F.col("size") == size, made)
+        if keys is None:
+            keys = F.array().cast("array<struct<key: bigint, unlike: boolean>>")
+        listed = self.reps.where(F.col("size") <= self.limit).select("side", "no", F.explode(keys).alias("_k"))
+        side = [F.col("side").alias(f"side_{end}")] if self.cross else []
+        unlike = [F.col("_k.unlike").alias("unlike")] if end == 1 else []
+        return listed.select(F.col("_k.key").alias("key"), F.col("no").alias(f"no_{end}"), *side, *unlike)
+
     def _by_subset(self) -> DataFrame:
-        """Pairs of small sets that share a subset of the least overlap any two of them need."""
-        keys = F.when(F.lit(False), F.array(F.lit(0).cast("bigint")))
-        for size in range(max(self.part, self.min_size), self.limit + 1):
-            keys = keys.when(F.col("size") == size, _subset_keys(self.part, size))
-        listed = self.reps.where(F.col("size") <= self.limit).select("side", "id", F.explode(keys).alias("key"))
-        order = F.col("side_1") < F.col("side_2") if self.cross else F.col("id_1") < F.col("id_2")
+        """Pairs of small sets that share a subset of the overlap that their sizes need."""
+        places = list(enumerate(meetings(self.min_size, self.limit, self.threshold)))
+        one, two = self._listed(1, places), self._listed(2, places)
+        # of one size group each pair meets from one end; between unlike sizes the ends are given
+        order = (
+            (F.col("side_1") < F.col("side_2")) | (F.col("unlike") & (F.col("side_1") > F.col("side_2")))
+            if self.cross
+            else F.col("unlike") | (F.col("no_1") < F.col("no_2"))
+        )
         met = salted_join(
-            _renamed(listed, 1),
-            _renamed(listed, 2),
+            one,
+            two,
             "key",
             how="inner",
-            spread=F.col("id_1"),
+            spread=F.col("no_1"),
             condition=order,
-            counts=_counts(listed, "key"),
+            counts=_counts(one, "key"),
+            right_spread=F.col("no_2"),
+            right_counts=_counts(two, "key"),
         )
-        return met.select("side_1", "id_1", "side_2", "id_2")
+        # a pair may meet more than once, and from either end
+        swap = F.col("side_1") > F.col("side_2") if self.cross else F.col("no_1") > F.col("no_2")
+        ends = [F.when(swap, F.col(f"no_{b}")).otherwise(F.col(f"no_{a}")).alias(f"no_{a}") for a, b in ((1, 2), (2, 1))]
+        return met.select(*ends)
 
     def _by_list(self) -> DataFrame:
         """Pairs with a larger set, met in the inverted list of one of its rarest tokens."""
@@ -170,46 +238,51 @@ class SimilarSets:
         reach = size - _ceil_of(size, t.numerator, t.denominator) + 1
         least_partner = ceil(t * (self.limit + 1))
         listed = self.reps.where(size >= least_partner).select(
-            "side", "id", "size", F.posexplode(F.slice("tokens", F.lit(1), reach.cast("int"))).alias("pos", "token")
+            "side", "no", "size", F.posexplode(F.slice("tokens", F.lit(1), reach.cast("int"))).alias("pos", "token")
         )
+        scanning = listed.where(size > self.limit)
         a, b = F.col("size_1"), F.col("size_2")
         # what is left of both sets from the shared token on must still suffice
         overlap = _ceil_of(a + b, t.numerator, t.numerator + t.denominator)
-        condition = self._scans() & (F.least(a - F.col("pos_1"), b - F.col("pos_2")) >= overlap)
+        condition = self._scans("no") & (F.least(a - F.col("pos_1"), b - F.col("pos_2")) >= overlap)
         met = salted_join(
-            _renamed(listed.where(size > self.limit), 1, "size", "pos"),
+            _renamed(scanning, 1, "size", "pos"),
             _renamed(listed, 2, "size", "pos"),
             "token",
             how="inner",
-            spread=F.col("id_1"),
+            spread=F.col("no_1"),
             condition=condition,
-            counts=_counts(listed, "token"),
+            counts=_counts(scanning, "token"),
+            right_spread=F.col("no_2"),
+            right_counts=_counts(listed, "token"),
         )
-        return _ordered(met.select("side_1", "id_1", "side_2", "id_2"), self.cross)
+        return met.select("no_1", "no_2")
 
-    def _scans(self) -> Column:
-        """The larger set scans, of equals the lesser id, so that each pair is met from one end; sizes must fit."""
+    def _scans(self, name: str = "id") -> Column:
+        """The larger set scans, of equals the one with the lesser name, so that each pair is met from one end; sizes must fit."""
         a, b = F.col("size_1"), F.col("size_2")
-        ends = (a > b) | ((a == b) & (F.struct("side_1", "id_1") < F.struct("side_2", "id_2")))
+        ends = (a > b) | ((a == b) & (F.struct("side_1", f"{name}_1") < F.struct("side_2", f"{name}_2")))
         fits = b * self.threshold.denominator >= a * self.threshold.numerator
         return ends & fits & (F.col("side_1") != F.col("side_2")) if self.cross else ends & fits
 
-    def links(self) -> DataFrame:
-        """Similar pairs of class representatives in a row: ``side``, ``id``, ``size`` of both, and ``overlap``."""
+    def _row_links(self) -> DataFrame:
+        """``links`` of the classes of sets that stand in a row."""
         # materialised, so that the comparison is planned by the number of candidates there really are
         candidates = cut_lineage(self._by_subset().unionByName(self._by_list()).distinct())
-        one = _renamed(self.reps.select("side", "id", "tokens", "size"), 1, "tokens", "size")
-        two = _renamed(self.reps.select("side", "id", "tokens", "size"), 2, "tokens", "size")
-        return (
-            candidates.join(one, ["side_1", "id_1"])
-            .join(two, ["side_2", "id_2"])
+        one = _renamed(self.reps.select("side", "id", "no", "tokens", "size"), 1, "tokens", "size")
+        two = _renamed(self.reps.select("side", "id", "no", "tokens", "size"), 2, "tokens", "size")
+        similar = (
+            candidates.join(one, "no_1")
+            .join(two, "no_2")
             .withColumn("overlap", F.size(F.array_intersect("tokens_1", "tokens_2")).cast("bigint"))
             .where(_similar(F.col("overlap"), F.col("size_1"), F.col("size_2"), self.threshold))
-            .select("side_1", "id_1", "size_1", "side_2", "id_2", "size_2", "overlap")
+        )
+        return _ordered(
+            similar.select("side_1", "id_1", "size_1", "side_2", "id_2", "size_2", "overlap"), self.cross, "size"
         )
 
-    def classes(self) -> DataFrame:
-        """``(side, id, size, class_id)`` of every set that stands in a row."""
+    def _row_classes(self) -> DataFrame:
+        """``classes`` of the sets that stand in a row."""
         several = self.reps.where(F.col("members") > 1).select("side", "tokens", F.col("id").alias("class_id"))
         return self.sets.join(several, ["side", "tokens"], "left").select(
             "side", "id", "size", F.coalesce("class_id", "id").alias("class_id")
@@ -228,19 +301,19 @@ class SimilarSets:
             "side", "id", "size", F.coalesce("class_id", "id").alias("class_id")
         )
 
-    def all_classes(self) -> DataFrame:
+    def classes(self) -> DataFrame:
         """``(side, id, size, class_id)`` of every set, however large."""
-        return self.classes().unionByName(self._giant_classes()) if self.has_giants else self.classes()
+        return self._row_classes().unionByName(self._giant_classes()) if self.has_giants else self._row_classes()
 
-    def all_links(self) -> DataFrame:
-        """``links`` of all classes, those of giants included."""
+    def links(self) -> DataFrame:
+        """Similar pairs of class representatives: ``side``, ``id``, ``size`` of both, and ``overlap``."""
         if not self.has_giants:
-            return self.links()
-        least = cut_lineage(self.all_classes().where(F.col("id") == F.col("class_id")).select("side", "id"))
+            return self._row_links()
+        least = cut_lineage(self.classes().where(F.col("id") == F.col("class_id")).select("side", "id"))
         far = self.giant_pairs()
         for end in (1, 2):
             far = far.join(_renamed(least, end), [f"side_{end}", f"id_{end}"], "left_semi")
-        return self.links().unionByName(far)
+        return self._row_links().unionByName(far)
 
     def giant_pairs(self) -> DataFrame:
         """Pairs with a set too large for a row: inverted lists in full, overlaps counted."""
@@ -264,11 +337,11 @@ class SimilarSets:
         """``(id_1, id_2, overlap, size_1, size_2)`` of all similar pairs; the lesser id, or the left table's, first."""
         names = ["id_1", "id_2", "overlap", "size_1", "size_2"]
         several = self.reps.where(F.col("members") > 1)
-        members = self.classes().select("side", "id", F.col("class_id"))
+        members = self._row_classes().select("side", "id", F.col("class_id"))
         one = members.select(F.col("side").alias("side_1"), F.col("class_id").alias("id_1"), F.col("id").alias("_id_1"))
         two = members.select(F.col("side").alias("side_2"), F.col("class_id").alias("id_2"), F.col("id").alias("_id_2"))
         between = (
-            self.links()
+            self._row_links()
             .join(one, ["side_1", "id_1"])
             .join(two, ["side_2", "id_2"])
             .select(
@@ -289,6 +362,8 @@ class SimilarSets:
                 spread=F.col("id_1"),
                 condition=F.col("id_1") < F.col("id_2"),
                 counts=several.select(F.col("id").alias("class_id"), F.col("members").alias("_n")),
+                right_spread=F.col("id_2"),
+                right_counts=several.select(F.col("id").alias("class_id"), F.col("members").alias("_n")),
             )
             out = out.unionByName(
                 within.select("id_1", "id_2", F.col("size_1").alias("overlap"), "size_1", F.col("size_1").alias("size_2"))

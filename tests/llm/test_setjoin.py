@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from minegrove.llm import queries
-from minegrove.llm.setjoin import SimilarSets, needed_overlap, small_limit
+from minegrove.llm.setjoin import SimilarSets, meetings, needed_overlap, small_limit
 
 
 def sets_of(rows):
@@ -64,7 +64,7 @@ def test_within_one_table(spark, seed, threshold, least, limit):
     assert len(got) == len({(r["id_1"], r["id_2"]) for r in got})
     assert {(r["id_1"], r["id_2"]): (r["overlap"], r["size_1"], r["size_2"]) for r in got} == want
     classes = {r["id"]: r["class_id"] for r in made.classes().collect()}
-    assert set(classes) == {k for k, s in sets.items() if len(s) <= limit}
+    assert set(classes) == set(sets)
     for a, b in combinations(sorted(classes), 2):
         assert (classes[a] == classes[b]) == (sets[a] == sets[b])
 
@@ -86,10 +86,10 @@ def test_classes_and_links_of_giants(spark, limit):
     rows += [("copy", t) for b, t in rows if b == "s60"]
     sets = {k: s for k, s in sets_of(rows).items() if len(s) >= 5}
     made = SimilarSets(frame(spark, rows), "b", "u", min_size=5, array_limit=limit)
-    got = {r["id"]: (r["size"], r["class_id"]) for r in made.all_classes().collect()}
+    got = {r["id"]: (r["size"], r["class_id"]) for r in made.classes().collect()}
     least = {a: min(b for b in sets if sets[b] == sets[a]) for a in sets}
     assert got == {k: (len(s), least[k]) for k, s in sets.items()}
-    links = [(r["id_1"], r["id_2"], r["overlap"], r["size_1"], r["size_2"]) for r in made.all_links().collect()]
+    links = [(r["id_1"], r["id_2"], r["overlap"], r["size_1"], r["size_2"]) for r in made.links().collect()]
     want = {
         (a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))
         for a, b in combinations(sorted(set(least.values())), 2)
@@ -103,7 +103,7 @@ def test_classes_of_giants_in_two_tables(spark):
     made = SimilarSets(frame(spark, rows), "b", "u", frame(spark, rows), min_size=2, array_limit=20)
     sets = {k: s for k, s in sets_of(rows).items() if len(s) >= 2}
     want = {(side, a, min(b for b in sets if sets[b] == sets[a])) for side in (0, 1) for a in sets}
-    assert {(r["side"], r["id"], r["class_id"]) for r in made.all_classes().collect()} == want
+    assert {(r["side"], r["id"], r["class_id"]) for r in made.classes().collect()} == want
 
 
 def test_p2_classes_has_giants(spark, data, monkeypatch):
@@ -123,3 +123,22 @@ def test_limits():
     assert needed_overlap(5, 5, Fraction(1, 2)) == 4
     assert needed_overlap(5, 10, Fraction(1, 2)) == 5
     assert small_limit(5, Fraction(1, 2), 70) == (4, 8)
+
+
+@pytest.mark.parametrize(("least", "threshold"), [(5, Fraction(1, 2)), (1, Fraction(4, 5)), (1, Fraction(1, 2)), (2, Fraction(1, 3)), (3, Fraction(1))])
+def test_sizes_meet_on_the_overlap_they_need(least, threshold):
+    _, limit = small_limit(least, threshold, 70)
+    met = meetings(least, limit, threshold)
+    for a in range(least, limit + 1):
+        for b in range(a, limit + 1):
+            need = needed_overlap(a, b, threshold)
+            shared = [m.overlap for m in met if (a in m.left and b in m.right) or (b in m.left and a in m.right)]
+            assert (need in shared) == (need <= a)
+            assert all(n >= need for n in shared)
+
+
+def test_common_subsets_list_no_pair_in_vain(spark):
+    """Four tokens that all sets have make no candidates of sets that need more."""
+    rows = [(f"s{i}", t) for i in range(200) for t in ("w", "x", "y", "z", *(f"{i}-{j}" for j in range(4)))]
+    made = SimilarSets(frame(spark, rows), "b", "u", min_size=5)
+    assert made._by_subset().count() == 0 and made.pairs().count() == 0
