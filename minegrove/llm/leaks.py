@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
 import ahocorasick
 import numpy as np
@@ -44,10 +46,11 @@ def normalise_with_offsets(text: str) -> tuple[str, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Items:
-    """A block of test items: ids and normalised texts."""
+    """A block of test items: ids and normalised texts; ``name`` tells blocks apart."""
 
     ids: tuple[int, ...]
     texts: tuple[str, ...]
+    name: str = ""
 
 
 def anchors(length: int) -> tuple[int, int]:
@@ -71,6 +74,41 @@ def build(items: Items, length: int) -> ahocorasick.Automaton:
     return automaton
 
 
+#: The automaton that this worker built last: a worker runs many tasks over one block.
+_built: dict[tuple[str, int], ahocorasick.Automaton] = {}
+
+
+def automaton_of(items: Items, length: int) -> ahocorasick.Automaton:
+    """The block's automaton, built once by a worker; that of a block before is let go."""
+    key = (items.name, length)
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(items, length)
+    return _built[key]
+
+
+def blocks_of(items: DataFrame, item_id: str, item_text: str, length: int, block_chars: int) -> Iterator[Items]:
+    """Normalised items in blocks of about ``block_chars`` characters, streamed; an item is never cut.
+
+    Items too short to share a run of ``length`` are left out.
+    """
+    ids: list[int] = []
+    texts: list[str] = []
+    filled = 0
+    for row in items.select(item_id, item_text).where(items[item_text].isNotNull()).toLocalIterator():
+        own = normalise(row[1])
+        if len(own) < length:
+            continue
+        if ids and filled + len(own) > block_chars:
+            yield Items(tuple(ids), tuple(texts), uuid4().hex)
+            ids, texts, filled = [], [], 0
+        ids.append(row[0])
+        texts.append(own)
+        filled += len(own)
+    if ids:
+        yield Items(tuple(ids), tuple(texts), uuid4().hex)
+
+
 def _same_before(a: str, i: int, b: str, j: int) -> int:
     most, n = min(i, j), 0
     while n + 32 <= most and a[i - n - 32 : i - n] == b[j - n - 32 : j - n]:
@@ -129,36 +167,24 @@ def find_leaks(
     first of equal ones), the number of maximal runs, and where the longest lies in the
     document's own text (``text_start``, ``text_end``, in code points).
 
-    The items are stated queries: they are brought to the driver and sent out in blocks
-    of at most ``block_chars`` characters, each one automaton; texts are scanned once a
-    block. An item longer than a block is cut, its parts overlapping by ``length`` - 1.
-    From each item, substrings of half the length are taken so densely that any
-    qualifying run holds one whole; a hit is extended both ways to the exact run.
+    The items are stated queries: they pass through the driver one block of about
+    ``block_chars`` characters at a time (more where a single item is longer, as items are
+    not cut), and each block is one automaton, built once by a worker; texts are scanned
+    once a block. From each item, substrings of half the length are taken so densely
+    that any qualifying run holds one whole; a hit is extended both ways to the exact
+    run, so how items fall into blocks changes no row.
 
     Null and short texts leak nothing. Repeated documents give repeated rows, repeated
-    items one row an item id. No items give no rows.
+    items one row an item id and row of the items. No items give no rows.
     """
-    blocks: list[list[tuple[int, str]]] = [[]]
-    filled = 0
-    for row in items.select(item_id, item_text).toLocalIterator():
-        if row[1] is None:
-            continue
-        whole = normalise(row[1])
-        for at in range(0, max(1, len(whole) - length + 1), max(1, block_chars - length + 1)):
-            part = whole[at : at + block_chars]
-            if filled + len(part) > block_chars and blocks[-1]:
-                blocks.append([])
-                filled = 0
-            blocks[-1].append((row[0], part))
-            filled += len(part)
     context = documents.sparkSession.sparkContext
     source = documents.select(documents[doc_id].cast("bigint"), documents[text].cast("string"))
     made: list[DataFrame] = []
-    for block in blocks:
-        sent = context.broadcast(Items(tuple(i for i, _ in block), tuple(t for _, t in block)))
+    for block in blocks_of(items, item_id, item_text, length, block_chars):
+        sent = context.broadcast(block)
 
         def scan(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, automaton = sent.value, build(sent.value, length)
+            items, automaton = sent.value, automaton_of(sent.value, length)
             for batch in batches:
                 rows = []
                 for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -176,7 +202,6 @@ def find_leaks(
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         made.append(source.mapInArrow(scan, LEAKS))
-    out = made[0]
-    for more in made[1:]:
-        out = out.unionByName(more)
-    return out
+    if not made:
+        return documents.sparkSession.createDataFrame([], LEAKS)
+    return reduce(DataFrame.unionByName, made)

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from minegrove.llm.leaks import Items, anchors, build, find_leaks, normalise, normalise_with_offsets, runs_in
+from minegrove.llm.leaks import Items, anchors, automaton_of, build, find_leaks, normalise, normalise_with_offsets, runs_in
 
 
 def brute(text, items, length):
@@ -105,3 +105,23 @@ def test_random_passages(spark):
         spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string"),
     )
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_blocks_change_nothing(spark):
+    """Items longer than a block come out in one row with their longest run, as in one block."""
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghij", k=400))
+    items = [(1, long), (2, long[100:300]), (3, "".join(rng.choices("klmn", k=90)))]
+    docs = [(1, "so " + long), (2, long[60:200] + " -- " + long[250:390]), (3, items[2][1] + long[:55]), (4, long[:49])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(tuple, find_leaks(d, i, block_chars=20_000_000).collect()))
+    assert sorted(map(tuple, find_leaks(d, i, block_chars=150).collect())) == whole
+    assert [(r[0], r[1], r[2], r[3]) for r in whole] == [(1, 1, 400, 1), (1, 2, 200, 1), (2, 1, 140, 2), (2, 2, 100, 2), (3, 1, 55, 1), (3, 3, 90, 1)]
+
+
+def test_an_automaton_is_built_once_a_worker():
+    one, two = Items((1,), (normalise(ITEM),), "one"), Items((2,), ("b" * 60,), "two")
+    first = automaton_of(one, 50)
+    assert automaton_of(one, 50) is first
+    assert automaton_of(two, 50) is not first
