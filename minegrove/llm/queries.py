@@ -13,7 +13,7 @@ from .bpe import DEFAULT_VOCABULARY, encode_texts
 from .cooccur import pair_counts
 from .heavy import frequent_values
 from .leaks import find_leaks
-from .sentences import KNOWN_NAMES, learn_names, split_sentences
+from .sentences import learn_names, split_sentences
 from .setjoin import SimilarSets
 from .sql import SQL
 
@@ -44,10 +44,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every business of five users or more: its class of equal sets, and the links of that class."""
     made = _business_sets(spark, d)
-    ends = made.all_links().select(F.explode(F.array("id_1", "id_2")).alias("class_id"))
+    ends = made.links().select(F.explode(F.array("id_1", "id_2")).alias("class_id"))
     counted = ends.groupBy("class_id").agg(F.count("*").alias("links"))
     return (
-        made.all_classes()
+        made.classes()
         .join(counted, "class_id", "left")
         .select(
             F.col("id").alias("business_id"),
@@ -126,8 +126,7 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of every document."""
     documents = table(spark, d, "documents")
-    learned = frozenset((r["word"], r["mark"]) for r in learn_names(documents).collect())
-    return split_sentences(documents, names=KNOWN_NAMES | learned)
+    return split_sentences(documents, learned=learn_names(documents))
 
 
 QUERIES = {

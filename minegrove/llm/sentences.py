@@ -10,6 +10,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import salted_join
+from ..session import cut_lineage
+
 # ---------------------------------------------------------------------------
 # What counts as a mark, a quote or an abbreviation.
 
@@ -77,8 +80,8 @@ SECOND_PARTS = frozenset(b for _, b in LEANING_PARTS | CLOSING_PARTS)
 MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Apr Jun Jul Aug Sep Sept Okt Nov Dez".split())
 #: Words after which a number with a dot is an ordinal.
 BEFORE_ORDINALS = frozenset("am Am im Im der Der die Die das Das den Den dem Dem des Des zum Zum zur Zur beim vom Vom ab Ab seit bis jeder jeden jede jedes vor nach".split())
-#: Names with a mark in them that are widely known; others are learned from the corpus.
-KNOWN_NAMES = frozenset({("Yahoo", "!"), ("Jeopardy", "!"), ("Oklahoma", "!"), ("Yum", "!"), ("Ahoy", "!"), ("Kahoot", "!"), ("Wham", "!"), ("Mia", "!")})
+#: Words before the name of a street, unlike that of a saint.
+BEFORE_STREETS = frozenset("on at to from of near off along down up the".split())
 
 # ---------------------------------------------------------------------------
 # Classes of characters and the transducer's symbols.
@@ -93,7 +96,7 @@ STATES = DEPTHS * 4
 AT_SAVED, AT_SYMBOL = 1, 2
 
 
-def _step(depth: int, mode: int, symbol: int) -> tuple[int, int, int, bool]:
+def _step(depth: int, mode: int, symbol: int, deepest: int | None = DEPTHS - 1) -> tuple[int, int, int, bool]:
     """One transition: the next depth and mode, what is written, whether the symbol's end is saved.
 
     A mark at depth 0 ends a sentence unless closing characters follow at once; after
@@ -129,7 +132,7 @@ def _step(depth: int, mode: int, symbol: int) -> tuple[int, int, int, bool]:
         if symbol in (S_LOWER, S_PAUSE, S_DIGIT):
             mode = NONE
     if symbol == S_OPEN:
-        return min(depth + 1, DEPTHS - 1), mode, written, False
+        return depth + 1 if deepest is None else min(depth + 1, deepest), mode, written, False
     if symbol in (S_CLOSE, S_CLOSE_NEXT):
         return max(0, depth - 1), mode, written, False
     if symbol in (S_FINAL, S_ELLIPSIS, S_ABBREVIATION):
@@ -187,9 +190,34 @@ def entry_states(symbols: np.ndarray, chunk: int) -> np.ndarray:
     return before.ravel()[: len(symbols)]
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class and whether Thai, for each code point."""
+def exact_depths(symbols: np.ndarray, state: np.ndarray) -> list[tuple[int, int, bool]]:
+    """What the stretches that nest deeper than the states tell write and save: ``(place, written, saved)``.
+
+    Where the deepest state occurs, its stretch, from one blank line or end of a text to
+    the next, is run once more, with an unbounded depth.
+    """
+    deepest = np.flatnonzero(state // 4 == DEPTHS - 1)
+    if not len(deepest):
+        return []
+    resets = np.flatnonzero((symbols == S_BLANK_LINE) | (symbols == S_END))
+    out = []
+    for k in np.unique(np.searchsorted(resets, deepest)).tolist():
+        depth, mode = 0, NONE
+        for i in range(int(resets[k - 1]) + 1 if k else 0, int(resets[k]) + 1 if k < len(resets) else len(symbols)):
+            depth, mode, wrote, saved = _step(depth, mode, int(symbols[i]), None)
+            out.append((i, wrote, saved))
+    return out
+
+
+#: Traits beside the class: a small letter (others are caseless), white space of any kind, an opening character, one of addresses.
+CASED, WHITE, OPENER, ADDRESS = 1, 2, 4, 8
+_OPENERS = "".join(o for o, _ in PAIRS) + "-–—"
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, whether Thai, and traits, for each code point."""
     kind = np.full(0x110000, OTHER, np.uint8)
+    trait = np.zeros(0x110000, np.uint8)
     text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     code = np.array([*range(0xD800), *range(0xE000, 0x110000)])
     for pattern, value in (
@@ -211,12 +239,18 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
         for c in closing:
             kind[ord(c)] = CLOSE
     kind[ord("'")] = CLOSE
+    for pattern, flag in ((r"\p{Lowercase}", CASED), (r"\s", WHITE)):
+        for m in regex.finditer(f"{pattern}+", text):
+            trait[code[m.start() : m.end()]] |= flag
+    for chars, flag in ((_OPENERS, OPENER), ("/\\@", ADDRESS)):
+        for c in chars:
+            trait[ord(c)] |= flag
     thai = np.zeros(0x110000, bool)
     thai[0x0E01:0x0E3B] = thai[0x0E40:0x0E4F] = True
-    return kind, thai
+    return kind, thai, trait
 
 
-KIND, THAI = _classes()
+KIND, THAI, TRAIT = _classes()
 _KINDS_OF_PAIR = np.full(0x110000, -1, np.int8)
 for _i, (_o, _c) in enumerate(PAIRS):
     for _x in _o + _c:
@@ -225,16 +259,6 @@ _BLANK_LINE = regex.compile(r"\n[ \t\r]*\n\s*")
 _CLOSED_MARK = regex.compile(
     r"[\p{Sentence_Terminal}…‥⋯．](?P<c>(?:[" + regex.escape(CLOSERS) + r"]|[^\S\n]{1,3}(?=[»›]))+)"
 )
-_OPENERS = "".join(o for o, _ in PAIRS) + "-–—"
-_LETTERS = regex.compile(r"\p{L}+")
-_NEW_PARAGRAPH = regex.compile(r"\n[ \t\r]*\n[ \t\r]*$")
-#: What stands before the St. of a street, unlike that of a saint.
-_STREET = regex.compile(r"(?<!\p{L})(?:on|at|to|from|of|near|off|along|down|up|the)\s\p{Lu}\p{L}+\s$")
-#: The neighbouring part of an abbreviation that is written with blanks.
-_PART_BEFORE = regex.compile(r"(?<!\p{L})(\p{L}+)\.\s{1,4}$")
-_PART_BEHIND = regex.compile(r"\s{1,4}(\p{L}+)\.")
-
-
 def _before(flags: np.ndarray) -> np.ndarray:
     """For each place the last place before it, or -1, where the flag is set."""
     at = np.where(flags, np.arange(len(flags), dtype=np.int32), np.int32(-1))
@@ -242,135 +266,272 @@ def _before(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([-1], np.int32), last[:-1]])
 
 
+#: Names with a mark in them: what stands before the mark, the mark, and perhaps the initial of what must follow.
+Names = frozenset[tuple[str, ...]]
+
+
+class Lexicon:
+    """Words with their classes, looked up for many spans of a text at once.
+
+    A span's hash is the difference of two prefix sums; what it hits is compared
+    character by character, so the hash decides nothing.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, classes: Sequence[Iterable[str]]) -> None:
+        bits: dict[str, int] = {}
+        for i, words in enumerate(classes):
+            for w in words:
+                bits[w] = bits.get(w, 0) | 1 << i
+        self.words = sorted(bits)
+        self.longest = max(map(len, self.words))
+        self.bits = np.array([bits[w] for w in self.words] + [0], np.uint32)  # the last for no word
+        self.lengths = np.array([len(w) for w in self.words])
+        self.codes = np.zeros((len(self.words), self.longest), np.uint32)
+        for i, w in enumerate(self.words):
+            self.codes[i, : len(w)] = [ord(c) for c in w]
+        powers = self.powers(self.longest)
+        hashes = (self.codes.astype(np.uint64) * powers).sum(1, dtype=np.uint64)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+
+    @classmethod
+    def powers(cls, n: int) -> np.ndarray:
+        """BASE ** 0, 1, ... modulo 2 ** 64."""
+        out = np.full(n, cls.BASE, np.uint64)
+        out[:1] = 1
+        return np.multiply.accumulate(out)
+
+    def find(self, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each span of ``code`` the number of the word it is, or that of none (-1)."""
+        length = end - begin
+        found = np.full(len(begin), -1, np.int32)
+        fits = np.flatnonzero((length > 0) & (length <= self.longest))
+        if not len(fits):
+            return found
+        places = np.arange(self.longest)
+        at = np.minimum(begin[fits, None] + places, len(code) - 1)
+        seen = np.where(places < length[fits, None], code[at], 0)
+        hashes = (seen.astype(np.uint64) * self.powers(self.longest)).sum(1, dtype=np.uint64)
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        word = self.order[spot]
+        same = (self.codes[word] == seen).all(1)
+        found[fits[same]] = word[same]
+        return found
+
+
+(L_LEANING, L_CLOSING, L_NUMBERING, L_CONTINUATION, L_MONTH, L_ORDINAL, L_STREET, L_LETTERED, L_LETTERS) = (1 << i for i in range(9))
+LEXICON = Lexicon(
+    [LEANING, CLOSING, NUMBERING, CONTINUATIONS, MONTHS, BEFORE_ORDINALS, BEFORE_STREETS, LETTERED, LEANING_LETTERS, FIRST_PARTS | SECOND_PARTS | {"St", "str", "Str", "www."}]
+)
+_NUMBER = {w: i for i, w in enumerate(LEXICON.words)}
+
+
+def _pairs_of(parts: Iterable[tuple[str, str]]) -> np.ndarray:
+    """Which words, by their numbers, stand together as parts of an abbreviation; the last row and column are for none."""
+    out = np.zeros((len(LEXICON.words) + 1,) * 2, bool)
+    for first, second in parts:
+        out[_NUMBER[first], _NUMBER[second]] = True
+    return out
+
+
+LEANING_TOGETHER, CLOSING_TOGETHER = _pairs_of(LEANING_PARTS), _pairs_of(CLOSING_PARTS)
+
+
+def _following(flags: np.ndarray) -> np.ndarray:
+    """For each place, and the one behind the last, the first place from it on where the flag is set, or the last place."""
+    n = len(flags)
+    at = np.where(flags, np.arange(n, dtype=np.int32), np.int32(n - 1))
+    return np.append(np.minimum.accumulate(at[::-1])[::-1], np.int32(n - 1))
+
+
+def _last(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For these places only, what ``_before`` tells for all."""
+    places = np.concatenate([np.array([-1]), np.flatnonzero(flags)])
+    return places[np.searchsorted(places, at, "left") - 1]
+
+
+def _next(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For these places only, what ``_following`` tells for all."""
+    places = np.append(np.flatnonzero(flags), len(flags) - 1)
+    return places[np.minimum(np.searchsorted(places, at, "left"), len(places) - 1)]
+
+
 class _Batch:
-    """Texts side by side, each followed by a separator."""
+    """Texts side by side, each followed by a separator. No lookup reaches beyond a separator into another text."""
 
-    def __init__(self, texts: Sequence[str], names: frozenset[tuple[str, str]]) -> None:
+    def __init__(self, texts: Sequence[str], names: Names) -> None:
         self.text = "\0".join(texts) + "\0"
         self.code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(t) for t in texts], np.int64)
         self.separators = np.cumsum(lengths + 1) - 1
         self.starts = self.separators - lengths
-        self.kind = KIND[self.code]
         self.names = names
-        self.token_starts = _before(np.isin(self.code, [ord(c) for c in " \n\t\0"])) + 1
+        kind = KIND[self.code]
+        kind[self.separators] = SPACE
+        self.kind = kind
+        trait = self.trait = TRAIT[self.code]
+        self.cased = (trait & CASED) > 0
+        self.separator = np.zeros(len(kind), bool)
+        self.separator[self.separators] = True
+        self.white = ((trait & WHITE) > 0) & ~self.separator
+        self.letter = (kind == LOWER) | (kind == CAPITAL)
+        self.solid = self.letter | (kind == DIGIT) | (kind == COMBINING)
+        self.token_starts = _before((kind == SPACE) & (self.code != ord("\r"))) + 1
         self.slashes = _before(self.code == ord("/"))
-        self.addressed = _before(np.isin(self.code, [ord(c) for c in "/\\@"]))
-
-    def _dot(self, at: int, start: int, nexts: int) -> int:
-        """What a lone dot is: MARK, CLOSING (-1) or nothing (OTHER)."""
-        text = self.text
-        word = text[start:at]
-        following = text[at + 1]
-        direct = KIND[ord(following)]
-        if not word:
-            return OTHER if direct == DIGIT else MARK
-        caseless = direct == LOWER and not following.islower()
-        if direct == DIGIT or (direct == LOWER and not caseless) or following in "ºª°":
-            return OTHER  # within a number, an address or a file name
-        if direct == CAPITAL:
-            token = self._token(at)
-            if self.addressed[at] >= token or text.startswith("www.", token, at):
-                return OTHER
-            if text[at + 2] == "." and (len(word) == 1 or word in LETTERED):
-                return OTHER  # between the letters of an abbreviation
-        after = text[nexts] if nexts < len(text) else "\0"
-        if word.isdigit():
-            return OTHER if self._ordinal(word, at, start, nexts) else MARK
-        if word in SECOND_PARTS and (before := _PART_BEFORE.search(text[max(0, start - 16) : start])):
-            if (before[1], word) in LEANING_PARTS:
-                return OTHER
-            if (before[1], word) in CLOSING_PARTS:
-                return -1
-        if word in FIRST_PARTS and (behind := _PART_BEHIND.match(text, at + 1)):
-            if (word, behind[1]) in LEANING_PARTS or (word, behind[1]) in CLOSING_PARTS:
-                return OTHER
-        if text[start - 1 : start] == ".":
-            own = text[self._token(at) : at].lstrip(_OPENERS)
-            if own in LEANING_LETTERS:
-                return OTHER
-            if own in CLOSING or all(0 < len(x) <= 2 and x.isalpha() for x in own.split(".")):
-                return self._shouted(at, nexts)
-        if word in LEANING:
-            return OTHER
-        if word == "St":
-            return -1 if _STREET.search(text[max(0, start - 40) : start]) else OTHER
-        if word in CLOSING:
-            return self._shouted(at, nexts)
-        if word in NUMBERING and KIND[ord(after)] == DIGIT:
-            return OTHER
-        if word.endswith(("str", "Str")) and len(word) > 3:
-            return OTHER if KIND[ord(after)] == DIGIT else -1
-        if len(word) == 1 and KIND[ord(word)] == CAPITAL and KIND[ord(after)] in (LOWER, CAPITAL, DOT):
-            return OTHER  # an initial
-        return MARK
-
-    def _token(self, at: int) -> int:
-        """Where the stretch without blanks begins that reaches to ``at``."""
-        return int(self.token_starts[at])
-
-    def _shouted(self, at: int, nexts: int) -> int:
-        """Whether the abbreviation may close a sentence: not before the rest of a name.
-
-        Among words in capitals a capital shows nothing; the sentence then goes on.
+        self.break_before = _before(~self.solid) + 1
+        self.letters_from = _before(~self.letter) + 1
+        self.letters_to = _following(~self.letter)
+        self.next_visible = _following(kind != SPACE)
+        self.blank = np.array([m.start() for m in _BLANK_LINE.finditer(self.text)], np.int64)
+        self.divided = self.separator.copy()
+        self.divided[self.blank] = True
+
+    def dots(self, at: np.ndarray) -> np.ndarray:
+        """What each of these lone dots is: the symbol of a final mark, of an abbreviation, or of nothing.
+
+        Each rule is a mask over all dots; of those that hold, the first decides.
         """
-        if (ahead := _LETTERS.match(self.text, nexts)) and ahead[0] in CONTINUATIONS:
-            return OTHER
-        token = self._token(at)
-        following = self.text[nexts : nexts + 2]
-        previous = self.text[max(0, token - 3) : token].rpartition("\0")[2][:-1]  # of the same text
-        loud = len(following) == 2 == len(previous) and following.isupper() and previous.isupper()
-        return OTHER if loud else -1
-
-    def _ordinal(self, word: str, at: int, start: int, nexts: int) -> bool:
-        text = self.text
-        if len(word) > 3 or text[at + 1] not in " \t\n\r\u00a0":
-            return False
-        lead = text[max(0, start - 24) : start]
-        inset = lead.rstrip(" \t")
-        if not inset or inset.endswith("\0") or _NEW_PARAGRAPH.search(inset):
-            return True  # numbers a paragraph
-        if lead[-1] in ".,:":
-            return False
-        if KIND[ord(text[nexts])] not in (LOWER, CAPITAL):
-            return False
-        ahead = _LETTERS.match(text, nexts)
-        if len(word) <= 2 and ahead and ahead[0] in MONTHS:
-            return True
-        words = lead.split()
-        return bool(words) and words[-1] in BEFORE_ORDINALS and lead[-1] in " \t\n\r\u00a0"
+        kind, code, n = self.kind, self.code, len(self.code)
+        start = self.break_before[at]
+        direct = kind[at + 1]
+        nexts = np.where(self.separator[at + 1], at + 1, self.next_visible[at + 1])
+        after = kind[nexts]
+        length = at - start
+        word = LEXICON.find(code, start, at)
+        bits = LEXICON.bits[word]
+        tokens = self.token_starts[at]
+        before = np.maximum(start - 1, 0)
+
+        cased_next = (direct == LOWER) & self.cased[at + 1]
+        within = (direct == DIGIT) | cased_next | np.isin(code[at + 1], [ord(c) for c in "ºª°"])
+        # addresses and file names: what comes directly is a capital
+        addressed = _last((self.trait & ADDRESS) > 0, at) >= tokens
+        web = LEXICON.find(code, tokens, np.minimum(tokens + 4, at)) == _NUMBER["www."]
+        lettered = (code[np.minimum(at + 2, n - 1)] == ord(".")) & ((length == 1) | ((bits & L_LETTERED) > 0))
+        joined = (direct == CAPITAL) & (addressed | web | lettered)
+        digits = _last(kind != DIGIT, at) < start
+        # parts of an abbreviation, written with blanks
+        shown = ~self.white
+        q = _last(shown, start)
+        gap = start - 1 - q
+        lead_end = np.where((gap >= 1) & (gap <= 4) & (q >= 0) & (code[np.maximum(q, 0)] == ord(".")), q, start)
+        lead = LEXICON.find(code, np.where(lead_end < start, self.letters_from[lead_end], start), lead_end)
+        r = _next(shown, at + 1)
+        gap = r - at - 1
+        tail_end = self.letters_to[r]
+        tailed = (gap >= 1) & (gap <= 4) & self.letter[r] & (code[tail_end] == ord("."))
+        tail = LEXICON.find(code, np.where(tailed, r, 0), np.where(tailed, tail_end, 0))
+        leaning_parts = LEANING_TOGETHER[lead, word] | LEANING_TOGETHER[word, tail] | CLOSING_TOGETHER[word, tail]
+        # several letters with dots, written without blanks
+        dotted = (start > 0) & (code[before] == ord("."))
+        begin = np.minimum(_next((self.trait & OPENER) == 0, tokens), at)
+        own = LEXICON.bits[np.where(dotted, LEXICON.find(code, begin, at), -1)]
+        part_end = code == ord(".")
+        part = np.arange(n) - self.letters_from
+        odd = ~(self.letter | part_end) | (part_end & ((part < 1) | (part > 2)))
+        short_parts = (_last(odd, at) < begin) & (at - self.letters_from[at] <= 2) & (at > self.letters_from[at])
+        # saints and streets
+        here = word == _NUMBER["St"]
+        named_end = np.where(here & self.white[before], before, 0)
+        named = self.letters_from[named_end]
+        lead_white = np.maximum(named - 1, 0)
+        to_street = (named_end - named >= 2) & (kind[named] == CAPITAL) & self.white[lead_white]
+        street = (LEXICON.bits[LEXICON.find(code, self.letters_from[lead_white], np.where(to_street, lead_white, 0))] & L_STREET) > 0
+        in_street = (LEXICON.find(code, np.maximum(at - 3, start), at) == _NUMBER["str"]) | (
+            LEXICON.find(code, np.maximum(at - 3, start), at) == _NUMBER["Str"]
+        )
+        # an abbreviation may close a sentence, but not before the rest of a name; among capitals a capital shows nothing
+        ahead = LEXICON.bits[LEXICON.find(code, nexts, np.where(self.letter[nexts], self.letters_to[nexts], nexts))]
+        loud = self._loud(nexts, nexts + 1) & self._loud(tokens - 3, tokens - 2) & ~self.separator[np.maximum(tokens - 1, 0)]
+        shout = np.where(((ahead & L_CONTINUATION) > 0) | loud, S_PAD, S_ABBREVIATION)
+        initial = (length == 1) & (kind[start] == CAPITAL) & np.isin(after, (LOWER, CAPITAL, DOT))
+        rules = [
+            (length == 0, np.where(direct == DIGIT, S_PAD, S_FINAL)),
+            (within | joined, S_PAD),
+            (digits, np.where(self._ordinal(at, start, nexts, q, ahead), S_PAD, S_FINAL)),
+            (LEANING_TOGETHER[lead, word], S_PAD),
+            (CLOSING_TOGETHER[lead, word], S_ABBREVIATION),
+            (leaning_parts, S_PAD),
+            (dotted & ((own & L_LETTERS) > 0), S_PAD),
+            (dotted & (((own & L_CLOSING) > 0) | short_parts), shout),
+            ((bits & L_LEANING) > 0, S_PAD),
+            (here, np.where(street, S_ABBREVIATION, S_PAD)),
+            ((bits & L_CLOSING) > 0, shout),
+            (((bits & L_NUMBERING) > 0) & (after == DIGIT), S_PAD),
+            (in_street & (length > 3), np.where(after == DIGIT, S_PAD, S_ABBREVIATION)),
+            (initial, S_PAD),
+        ]
+        out = np.select([np.asarray(r) for r, _ in rules], [np.broadcast_to(v, at.shape) for _, v in rules], S_FINAL).astype(np.uint8)
+        if self.names:
+            # the second word of a name, with another capitalised one before it
+            may = np.flatnonzero((out != S_PAD) & (kind[start] == CAPITAL) & self.white[before] & self._before_capital(at))
+            lead_from = self.letters_from[q[may] + 1]
+            out[may[self._named(lead_from, at[may])]] = S_PAD
+        return out
+
+    def _before_capital(self, at: np.ndarray) -> np.ndarray:
+        """Whether white space and then a capital follow, in the same text."""
+        space = (self.kind[at + 1] == SPACE) & ~self.separator[at + 1]
+        return space & (self.kind[self.next_visible[at + 1]] == CAPITAL)
+
+    def _named(self, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether what stands from ``begin`` to these marks, with the mark, is a name that goes on."""
+        text, names, found = self.text, self.names, []
+        for b, e, n in zip(begin.tolist(), at.tolist(), self.next_visible[at + 1].tolist(), strict=True):
+            key = (" ".join(text[b:e].split()), text[e])
+            found.append(key in names or (*key, text[n]) in names)
+        return np.array(found, bool)
+
+    def _loud(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether these two neighbours, of one text, have a capital and no small letter."""
+        fine = (a >= 0) & (b < len(self.code))
+        a, b = np.maximum(a, 0), np.minimum(np.maximum(b, 0), len(self.code) - 1)
+        capital = (self.kind[a] == CAPITAL) | (self.kind[b] == CAPITAL)
+        return fine & capital & ~self.cased[a] & ~self.cased[b] & ~self.separator[a] & ~self.separator[b]
+
+    def _ordinal(self, at: np.ndarray, start: np.ndarray, nexts: np.ndarray, known: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """Whether numbers with a dot number a paragraph, or are ordinals: before a month, or after certain words.
+
+        ``known``: the last place before the number that isn't white space.
+        """
+        length, before = at - start, np.maximum(start - 1, 0)
+        short = (length <= 3) & self.white[at + 1]
+        shown = _last(self.kind != SPACE, start)  # the last visible place before the number
+        first = shown < _last(self.divided, start) + (start == 0)
+        before_letter = self.letter[nexts] & ~((start > 0) & np.isin(self.code[before], [ord(c) for c in ".,:"]))
+        month = (length <= 2) & ((ahead & L_MONTH) > 0)
+        apart = (start > 0) & self.white[before]
+        end = np.where(apart, known + 1, 0)
+        begin = _last(self.white | self.separator, np.maximum(end - 1, 0)) + 1
+        told = apart & ((LEXICON.bits[LEXICON.find(self.code, begin, end)] & L_ORDINAL) > 0)
+        return short & (first | (before_letter & (month | told)))
+
+    def marks_within(self, at: np.ndarray) -> np.ndarray:
+        """Which of these lone marks right after a word stand within an address, or are part of a name."""
+        query = self.code[at] == ord("?")
+        out = query & self.solid[at + 1] & (self.slashes[at] >= self.token_starts[at])
+        if self.names:
+            may = np.flatnonzero(self._before_capital(at) & (query | (self.code[at] == ord("!"))))
+            out[may] = self._named(self.break_before[at[may]], at[may])
+        return out
 
     def ends(self, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end (in the joined text) of all sentences."""
-        text, kind, code = self.text, self.kind.copy(), self.code
+        text, kind, code, separator = self.text, self.kind, self.code, self.separator
         n = len(kind)
         place = np.arange(n, dtype=np.int32)
-        separator = np.zeros(n, bool)
-        separator[self.separators] = True
-        kind[separator] = SPACE
-
-        letter = (kind == LOWER) | (kind == CAPITAL)
-        solid = letter | (kind == DIGIT) | (kind == COMBINING)
+        letter, solid, next_visible = self.letter, self.solid, self.next_visible
         # runs of marks
         mark = (kind == MARK) | (kind == ELLIPSIS) | (kind == DOT)
         first = mark & ~np.concatenate([[False], mark[:-1]])
         last = mark & ~np.concatenate([mark[1:], [False]])
         begins, finals = np.flatnonzero(first), np.flatnonzero(last)
-        # dots that stand alone are looked at one by one
-        break_before = _before(~solid) + 1
-        next_visible = np.full(n + 1, n - 1, np.int32)
-        visible = np.where(kind != SPACE, place, np.int32(n - 1))
-        next_visible[:-1] = np.minimum.accumulate(visible[::-1])[::-1]
         run = np.full(len(begins), S_FINAL, np.uint8)
-        single_dot = (begins == finals) & (kind[begins] == DOT)
-        previous_digit = np.concatenate([[False], (kind == DIGIT)[:-1]])
-        following_digit = np.concatenate([(kind == DIGIT)[1:], [False]])
-        numeric = single_dot & previous_digit[begins] & following_digit[begins]
-        run[numeric] = S_PAD
-        for i in np.flatnonzero(single_dot & ~numeric).tolist():
-            at = int(begins[i])
-            found = self._dot(at, int(break_before[at]), int(next_visible[at + 1]))
-            run[i] = S_FINAL if found == MARK else S_ABBREVIATION if found == -1 else S_PAD
+        lone = begins == finals
+        single_dot = np.flatnonzero(lone & (kind[begins] == DOT))
+        run[single_dot] = self.dots(begins[single_dot])
         dots = np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == DOT, dtype=np.int32)])
         soft = np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == ELLIPSIS, dtype=np.int32)])
         length = finals - begins + 1
@@ -378,46 +539,40 @@ class _Batch:
         in_soft = soft[finals + 1] - soft[begins]
         run[(in_dots + in_soft == length) & ((in_dots >= 3) | (in_soft > 0))] = S_ELLIPSIS
         # marks within addresses, and marks that are part of a name
-        for i in np.flatnonzero((begins == finals) & (kind[begins] == MARK) & solid[np.maximum(begins - 1, 0)]).tolist():
-            at = int(begins[i])
-            if text[at] == "?" and solid[at + 1]:
-                if self.slashes[at] >= self._token(at):
-                    run[i] = S_PAD
-            elif self.names and text[at] in "!?" and kind[at + 1] == SPACE and kind[next_visible[at + 1]] == CAPITAL:
-                if (text[int(break_before[at]) : at], text[at]) in self.names:
-                    run[i] = S_PAD
+        after_word = np.flatnonzero(lone & (kind[begins] == MARK) & solid[np.maximum(begins - 1, 0)])
+        run[after_word[self.marks_within(begins[after_word])]] = S_PAD
 
         # blank lines divide paragraphs
-        divided = separator.copy()
-        blank = [m.start() for m in _BLANK_LINE.finditer(text)]
-        divided[blank] = True
+        blank, divided = self.blank, self.divided
         paragraph = np.cumsum(divided, dtype=np.int32)
 
         # what encloses, and what only seems to
         pair = _KINDS_OF_PAIR[code]
         pair[separator] = -1
-        opening = (kind == OPEN) & (pair >= 0)
-        closing = (kind == CLOSE) & (pair >= 0)
-        before_kind = np.concatenate([[SPACE], kind[:-1]])
-        after_kind = np.concatenate([kind[1:], [SPACE]])
-        loose_before = np.isin(before_kind, (SPACE, OPEN))
-        straight = code == ord('"')
-        opens = straight & (loose_before | (before_kind == OTHER)) & (after_kind != SPACE)
-        low = code == ord("“")
-        earlier_low = _before((code == ord("„")) | (code == ord("‟")))
+        held = np.flatnonzero(((kind == OPEN) | (kind == CLOSE)) & (pair >= 0))
+        kind_before, kind_after, own = kind[np.maximum(held - 1, 0)], kind[np.minimum(held + 1, n - 1)], code[held]
+        kind_before[held == 0] = SPACE
+        loose_before = (kind_before == SPACE) | (kind_before == OPEN)
+        wordy_after = (kind_after == LOWER) | (kind_after == CAPITAL)
+        straight, low = own == ord('"'), own == ord("“")
+        opens = straight & (loose_before | (kind_before == OTHER)) & (kind_after != SPACE)
+        earlier_low = _last((code == ord("„")) | (code == ord("‟")), held)
         closes_low = (
             low
             & (earlier_low >= 0)
-            & (paragraph[np.maximum(earlier_low, 0)] == paragraph)
+            & (paragraph[np.maximum(earlier_low, 0)] == paragraph[held])
             & ~loose_before
-            & ~np.isin(after_kind, (LOWER, CAPITAL, DIGIT))
+            & ~(wordy_after | (kind_after == DIGIT))
         )
-        apostrophe = (code == ord("’")) & np.isin(after_kind, (LOWER, CAPITAL))
-        opening = (opening & ~straight & ~low) | opens | (low & ~closes_low)
-        closing = (closing & ~straight & ~low & ~apostrophe) | (straight & ~opens) | closes_low
+        apostrophe = (own == ord("’")) & wordy_after
+        opening, closing = np.zeros(n, bool), np.zeros(n, bool)
+        opening[held] = ((kind[held] == OPEN) & ~straight & ~low) | opens | (low & ~closes_low)
+        closing[held] = ((kind[held] == CLOSE) & ~straight & ~low & ~apostrophe) | (straight & ~opens) | closes_low
         valid_open, valid_close = np.zeros(n, bool), np.zeros(n, bool)
-        for k in np.unique(pair[opening | closing]).tolist():
-            o, c = np.flatnonzero(opening & (pair == k)), np.flatnonzero(closing & (pair == k))
+        kinds = pair[held]
+        for k in np.unique(kinds).tolist():
+            same = held[kinds == k]
+            o, c = same[opening[same]], same[closing[same]]
             if not len(o) or not len(c):
                 continue
             # the last closing place and the first opening place of each paragraph
@@ -457,8 +612,11 @@ class _Batch:
         stream = symbol[kept]
 
         state = entry_states(stream, chunk)
-        written = WRITES[stream, state]
-        setter = np.where(SAVES[stream, state], np.arange(len(stream)), 0)
+        deep = exact_depths(stream, state)
+        written, saves = WRITES[stream, state], SAVES[stream, state]
+        for i, wrote, saved_here in deep:
+            written[i], saves[i] = wrote, saved_here
+        setter = np.where(saves, np.arange(len(stream)), 0)
         saved = np.concatenate([[0], np.maximum.accumulate(setter)[:-1]])
         at_saved = kept[saved[(written & AT_SAVED) > 0]] + 1
         at_symbol = kept[(written & AT_SYMBOL) > 0]
@@ -473,9 +631,7 @@ class _Batch:
         return begin[real], end[real]
 
 
-def split_texts(
-    texts: Sequence[str], names: frozenset[tuple[str, str]] = KNOWN_NAMES, chunk: int = 256
-) -> list[list[tuple[int, int]]]:
+def split_texts(texts: Sequence[str], names: Names = frozenset(), chunk: int = 256) -> list[list[tuple[int, int]]]:
     """Sentences of each text as (start, end) in code points; ``chunk`` symbols make one step of the scan."""
     if not texts:
         return []
@@ -498,43 +654,92 @@ def paragraphs(text: str, most: int) -> Iterator[tuple[int, str]]:
     yield base, text[base:]
 
 
+#: How a name with a mark is seen: a capitalised word with ``!`` or ``?``, or two with the dot of a short second one
+#: that is not all capitals; the next capitalised word; and the one after that. A word without a mark is seen too, to tell how often it has one.
+_NEXT = r"(?:\s{1,4}\p{Lu}\p{L}+(?:\W{1,3}\p{L}{1,12})?)?"
+_SIGHTING = rf"\s(\p{{Lu}}\p{{L}}+\s{{1,4}}\p{{Lu}}\p{{Ll}}{{0,3}}\.(?!\p{{L}}){_NEXT}|\p{{Lu}}\p{{L}}+(?:[!?]{_NEXT})?)"
+
+
 def learn_names(
-    documents: DataFrame, *, text: str = "text", min_count: int = 5, min_places: int = 2, share: float = 0.9, most: int = 100_000
+    documents: DataFrame, *, text: str = "text", min_count: int = 5, min_places: int = 2, share: float = 0.9, slips: int = 2
 ) -> DataFrame:
-    """Words with a mark that is part of a name (``word``, ``mark``), found in the whole corpus.
+    """``(word, mark, initial)``: names with a mark that ends nothing, found in the whole corpus.
+
+    Nearly always (``share`` of all sightings) such a word has the mark, and is then
+    followed by the same capitalised word, with ``min_count`` sightings or more and at
+    least ``min_places`` different words after that; ``initial`` is that word's. Spellings
+    within ``slips`` changes of the most frequent follower count as that one. A word
+    that merely ends sentences is followed by what happens to come next. With a dot the
+    word is two, the second short, as in the name of a street that a shop is named by.
 
-    Such a word nearly always (``share``) has the mark, and is then nearly always
-    followed by the same capitalised word, ``min_count`` times or more and with at least
-    ``min_places`` different words after that. A word that merely ends sentences has other
-    marks or none elsewhere, and is followed by what happens to come next. At most
-    ``most`` names, the most frequent.
+    Every sighting of every document counts, and every name is kept, however many.
     """
-    pattern = r"\s(\p{Lu}\p{L}+(?:[!?](?:\s{1,4}\p{Lu}\p{L}+(?:\W{1,3}\p{L}{1,12})?)?)?)"
-    seen = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("s"))
+    seen = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_SIGHTING), F.lit(1))).alias("s"))
     counted = seen.groupBy("s").agg(F.count("*").alias("n"))
+    stem = F.regexp_extract("s", r"^(\p{L}+(?:\s+\p{L}+(?=\.))?)", 1)
     parts = counted.select(
-        F.regexp_extract("s", r"^(\p{L}+)", 1).alias("word"),
-        F.regexp_extract("s", r"^\p{L}+([!?])", 1).alias("mark"),
-        F.regexp_extract("s", r"[!?]\s+(\p{L}+)", 1).alias("next"),
-        F.regexp_extract("s", r"[!?]\s+\p{L}+\W+(\p{L}+)$", 1).alias("tail"),
+        F.regexp_replace(stem, r"\s+", " ").alias("word"),
+        F.regexp_extract("s", r"^[\p{L}\s]+([!?.])", 1).alias("mark"),
+        F.regexp_extract("s", r"[!?.]\s+(\p{L}+)", 1).alias("next"),
+        F.regexp_extract("s", r"[!?.]\s+\p{L}+\W+(\p{L}+)$", 1).alias("tail"),
         "n",
     )
     places = parts.groupBy("word", "mark", "next", "tail").agg(F.sum("n").alias("n"))
     each = places.groupBy("word", "mark", "next").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
-    named = F.when((F.col("mark") != "") & (F.col("next") != ""), F.struct("n", "places", "mark"))
-    words = each.groupBy("word").agg(F.sum("n").alias("all"), F.max(named).alias("top"))
-    return (
-        words.where(
-            (F.col("top.n") >= F.greatest(F.col("all") * F.lit(share), F.lit(min_count)))
-            & (F.col("top.places") >= min_places)
-        )
-        .orderBy(F.desc("top.n"), "word")
-        .limit(most)
-        .select("word", F.col("top.mark").alias("mark"))
+    # only words that are mostly marked and mostly followed go on to the comparison of spellings
+    followed = (F.col("mark") != "") & (F.col("next") != "")
+    words = each.groupBy("word").agg(
+        F.sum("n").alias("all"),
+        F.sum(F.when(followed, F.col("n"))).alias("followed"),
+        F.max(F.when(followed, F.struct("n", "places", "mark", "next"))).alias("top"),
+    )
+    likely = words.where((F.col("followed") >= F.col("all") * F.lit(share)) & (F.col("top.n") >= min_count) & (F.col("top.places") >= min_places))
+    spelled = each.where(followed).join(likely, "word")
+    alike = (F.col("mark") == F.col("top.mark")) & (F.levenshtein(F.col("next"), F.col("top.next")) <= slips)
+    told = spelled.groupBy("word", "all", "top").agg(F.sum(F.when(alike, F.col("n"))).alias("same"))
+    return told.where(F.col("same") >= F.col("all") * F.lit(share)).select(
+        "word", F.col("top.mark").alias("mark"), F.substring("top.next", 1, 1).alias("initial")
     )
 
 
 SENTENCES = "doc_id bigint, sent_start bigint, sent_end bigint"
+PIECES = "doc_id bigint, base bigint, text string"
+
+
+def _sentences_of(rows: list[tuple[int, int, str]], names: Names, chunk: int, batch_chars: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row number, begin and end of the sentences of these pieces: (row, offset in its text, piece)."""
+    at = 0
+    while at < len(rows):
+        upto, chars = at, 0
+        while upto < len(rows) and (upto == at or chars < batch_chars):
+            chars += len(rows[upto][2])
+            upto += 1
+        part = rows[at:upto]
+        made = _Batch([p for _, _, p in part], names)
+        begin, end = made.ends(chunk)
+        owner = np.searchsorted(made.separators, begin)
+        offset = (np.array([b for _, b, _ in part]) - made.starts)[owner]
+        yield np.array([r for r, _, _ in part])[owner], begin + offset, end + offset
+        at = upto
+
+
+def _with_own_names(pieces: DataFrame, learned: DataFrame) -> DataFrame:
+    """Pieces with ``names``, those learned names that their text may hold; for more names than every task can hold.
+
+    Joined by a hash of the text: texts that share one share names, which changes nothing,
+    as any name that is learned is one everywhere.
+    """
+    key = F.xxhash64("text")
+    held = pieces.select(key.alias("_h"), F.explode(F.regexp_extract_all("text", F.lit(_SIGHTING), F.lit(1))).alias("s"))
+    held = held.select(
+        "_h",
+        F.regexp_replace(F.regexp_extract("s", r"^(\p{L}+(?:\s+\p{L}+(?=\.))?)", 1), r"\s+", " ").alias("word"),
+        F.regexp_extract("s", r"^[\p{L}\s]+([!?.])", 1).alias("mark"),
+    ).distinct()
+    found = held.join(learned, ["word", "mark"]).groupBy("_h").agg(
+        F.collect_set(F.struct("word", "mark", "initial")).alias("names")
+    )
+    return salted_join(pieces.withColumn("_h", key), found, "_h", how="left", spread=F.struct("doc_id", "base")).drop("_h")
 
 
 def split_sentences(
@@ -542,44 +747,70 @@ def split_sentences(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
-    names: frozenset[tuple[str, str]] = KNOWN_NAMES,
+    names: Names = frozenset(),
+    learned: DataFrame | None = None,
     chunk: int = 256,
     batch_chars: int = 500_000,
+    long_chars: int = 2_000_000,
+    most_sent: int = 100_000,
 ) -> DataFrame:
     """``(doc_id, sent_start, sent_end)``: the sentences of every document, in code points.
 
     The rules are compiled into a transducer over classes of characters. Texts are laid
     side by side and cut into chunks, whose effects on the state are composed by prefix
-    scan, so a long text costs no more steps than many short ones. Nothing is shuffled.
+    scan, so a long text costs no more steps than many short ones. What a document's
+    sentences are depends on its own text and the names only.
+
+    Texts of more than ``long_chars`` characters are cut at blank lines, where all states
+    begin anew, and the pieces are dealt to all tasks; nothing else is shuffled.
+
+    ``names`` and ``learned`` (the result of ``learn_names``) are names with a mark in them.
+    Up to ``most_sent`` learned ones are sent to all tasks; more are joined to the
+    documents that may hold them, with the same result.
+
     Null, empty and blank texts have no sentences; repeated documents repeat theirs.
     """
+    spark = documents.sparkSession
+    joined = False
+    if learned is not None:
+        learned = cut_lineage(learned)
+        joined = learned.limit(most_sent + 1).count() > most_sent
+        if not joined:
+            names = names | {tuple(r) for r in learned.select("word", "mark", "initial").toLocalIterator()}
+    sent = spark.sparkContext.broadcast(names)
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            pieces = [
-                (row, base, piece)
-                for row, text in enumerate(batch.column(1).to_pylist())
-                if text
-                for base, piece in paragraphs(text, batch_chars)
+            ids, own = batch.column(0), sent.value
+            if joined:
+                own = own.union(tuple(x.values()) for found in batch.column(3).to_pylist() for x in found or ())
+            rows = [
+                (row, base + more, piece)
+                for row, (base, whole) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+                if whole
+                for more, piece in paragraphs(whole, batch_chars)
             ]
-            at = 0
-            while at < len(pieces):
-                upto, chars = at, 0
-                while upto < len(pieces) and (upto == at or chars < batch_chars):
-                    chars += len(pieces[upto][2])
-                    upto += 1
-                part = pieces[at:upto]
-                made = _Batch([p for _, _, p in part], names)
-                begin, end = made.ends(chunk)
-                owner = np.searchsorted(made.separators, begin)
-                rows = np.array([r for r, _, _ in part])[owner]
-                offset = (np.array([b for _, b, _ in part]) - made.starts)[owner]
+            for row, begin, end in _sentences_of(rows, own, chunk, batch_chars):
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(begin + offset, pa.int64()), pa.array(end + offset, pa.int64())],
+                    [ids.take(pa.array(row)), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
                     names=["doc_id", "sent_start", "sent_end"],
                 )
-                at = upto
 
-    source = documents.select(documents[doc_id].cast("bigint"), documents[text].cast("string"))
-    return source.mapInArrow(split, SENTENCES)
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, whole in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+                for base, piece in paragraphs(whole, batch_chars):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i.as_py()], pa.int64()), pa.array([base], pa.int64()), pa.array([piece], pa.string())],
+                        names=["doc_id", "base", "text"],
+                    )
+
+    source = documents.select(
+        documents[doc_id].cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("base"), documents[text].cast("string").alias("text")
+    )
+    short = source.where(F.char_length("text") <= long_chars)
+    long = source.where(F.char_length("text") > long_chars).mapInArrow(cut, PIECES).repartition("doc_id", "base")
+    made = [short, long]
+    if joined:
+        made = [_with_own_names(df, learned) for df in made]
+    return made[0].mapInArrow(split, SENTENCES).unionByName(made[1].mapInArrow(split, SENTENCES))

@@ -74,6 +74,52 @@ def test_learned_names():
     assert [text[a:b] for a, b in learned] == ["I ate at Zing! Noodles on Monday.", "What a zing!", "Noodles are good."]
 
 
+def test_names_with_a_dot():
+    names = frozenset({("Oat St", ".", "B"), ("Zing", "!", "N")})
+    text = "The stew at Oat St. Bakery is fresh. He lives on Oat St. There it is. See Oat  St.\nBkaery. I love Zing! It is fun. Zing! Nodoles too."
+    got = [text[a:b] for a, b in S.split_texts([text], names)[0]]
+    assert got == ["The stew at Oat St. Bakery is fresh.", "He lives on Oat St.", "There it is.", "See Oat  St.\nBkaery.", "I love Zing!", "It is fun.", "Zing! Nodoles too."]
+
+
+def test_names_with_a_dot_are_learned(spark):
+    rows = [(f"The stew at Oat St. {shop} {v} fresh. On Elm St. {n} it is. Ask Hull Ltd. and go.",) for v in ("is", "was", "tastes") for n in ("Yes", "Well", "Oh") for shop in ("Bakery", "Bakery", "Bakery", "Bkaery")]
+    got = [tuple(r) for r in S.learn_names(spark.createDataFrame(rows, "text string")).collect()]
+    assert got == [("Oat St", ".", "B")]
+
+
+def test_more_names_than_can_be_sent(spark):
+    rows = [(i, f"I ate at Zing! Noodles on day {i}. So good! {w} it was. At Oat St. Bakery we left. Day! {w} again.") for i, w in enumerate(("Yes", "Well", "Oh", "Ah", "No", "So"))]
+    df = spark.createDataFrame(rows + [(1, rows[1][1]), (9, None)], "doc_id bigint, text string")
+    learned = spark.createDataFrame([("Zing", "!", "N"), ("Oat St", ".", "B"), ("Never", "?", "X")], "word string, mark string, initial string")
+    want = sorted(map(tuple, S.split_sentences(df, learned=learned).collect()))
+    assert sorted(map(tuple, S.split_sentences(df, learned=learned, most_sent=1).collect())) == want
+    assert len(want) == 7 * 6
+
+
+def test_depth_is_unbounded():
+    for n in (1, 7, 8, 9, 40):
+        text = "(" * n + "a. B" + ")" * (n - 1) + " c. D. e) f. G"
+        assert [text[a:b] for a, b in S.split_texts([text])[0]] == [text[:-2], "G"]
+
+
+def test_time_is_linear_in_a_token():
+    import time
+
+    took = []
+    for n in (4000, 64000):
+        begun = time.perf_counter()
+        S.split_texts([("x" * 30 + ".Y") * n])
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 16 * 8 * max(took[0], 0.02)
+
+
+def test_long_texts_are_dealt_out(spark):
+    text = "\n\n".join(f"1. He said “{i}. So.” and left\nthe bar... That was {i}" for i in range(300))
+    df = spark.createDataFrame([(7, text), (8, "One. Two."), (None, text)], "doc_id int, text string")
+    want = sorted(map(tuple, S.split_sentences(df).collect()), key=str)
+    assert sorted(map(tuple, S.split_sentences(df, long_chars=500, batch_chars=100).collect()), key=str) == want
+
+
 def test_names_are_learned_from_the_corpus(spark):
     rows = [(f"I like Zing! Noodles {v} much. What a day! The end. So many Minutes? {n} it was.",) for v in ("so", "too", "very") for n in ("Yes", "Well", "Oh")]
     df = spark.createDataFrame(rows + [(None,), ("",)], "text string")
