@@ -8,7 +8,7 @@ import inspect
 from pyspark.sql import SparkSession
 
 from .jobs import JOBS
-from .session import DEFAULTS
+from .session import DEFAULTS, clear_checkpoints
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,7 +33,11 @@ def main(arguments: list[str] | None = None) -> None:
     builder = SparkSession.builder.appName("minegrove")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
-    function(builder.getOrCreate(), **chosen)
+    spark = builder.getOrCreate()
+    try:
+        function(spark, **chosen)
+    finally:
+        clear_checkpoints(spark)
 
 
 if __name__ == "__main__":

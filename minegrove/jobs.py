@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .functions.ids import clean_id
 from .operators import cluster, graph, itemsets, recommend, relational, similarity, sketches
+from .session import cut_lineage
 from .sources import files
 
 
@@ -80,19 +81,20 @@ def city_timings(spark: SparkSession, reviews: str, businesses: str, out: str, *
 
 
 def _itemset_report(pairs: DataFrame, support: int, out: str) -> None:
-    found = itemsets.frequent_itemsets(pairs, support)
-    sinks.write_csv(sinks.itemset_lines(found), out, one_file=True)
+    pairs = cut_lineage(pairs)
+    candidates = itemsets.son_candidates(pairs, support, pairs.select("basket").distinct().count())
+    sinks.write_lines(sinks.itemset_report(candidates, itemsets.frequent_itemsets(pairs, support)), out, one_file=True)
 
 
 def frequent(spark: SparkSession, pairs: str, out: str, *, support: int, case: int = 1) -> None:
-    """Frequent itemsets of users' businesses (case 1) or businesses' users (case 2), a line a size."""
+    """Candidate and frequent itemsets of users' businesses (case 1) or businesses' users (case 2), a line a size."""
     rows = files.headed_csv(spark, pairs, files.PAIRS)
     basket, item = ("user_id", "business_id") if case == 1 else ("business_id", "user_id")
     _itemset_report(itemsets.baskets(rows, basket, item), support, out)
 
 
 def frequent_products(spark: SparkSession, transactions: str, out: str, *, support: int, more_than: int = 0) -> None:
-    """Frequent sets of products in a customer's day, of days with more than so many products."""
+    """Candidate and frequent sets of products in a customer's day, of days with more than so many products."""
     rows = files.quoted_transactions(spark, transactions)
     _itemset_report(itemsets.baskets(rows, "basket", "item", more_than=more_than), support, out)
 

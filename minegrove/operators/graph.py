@@ -266,23 +266,63 @@ def component_cuts(edges: list[tuple], total: int) -> list[tuple[float, float, l
     return course
 
 
+def _turns(tops: list[float]) -> list[list[float]]:
+    """For each cut of a component a key by which the cuts of all components, sorted, take turns as in the whole graph.
+
+    In the whole graph the next cut is always one of the highest betweenness among the
+    components' next ones. So a cut waits for the lowest of its component so far, and
+    cuts above that follow it at once: the key is the rising sequence of lowest values,
+    from the beginning, from the lowest on, and so on, each negated and with the number of
+    times it has occurred. Equal keys are one round.
+    """
+    out: list[list[float]] = []
+    path: list[list[float]] = []
+    for top in tops:
+        value = -round(top, 9)
+        while path and path[-1][0] < value:
+            path.pop()
+        if path and path[-1][0] == value:
+            path[-1][1] += 1.0
+        else:
+            path.append([value, 0.0])
+        out.append([x for part in path for x in part])
+    return out
+
+
+def _pieces_of(frame: pd.DataFrame) -> pd.DataFrame:
+    """Vertices of one component with the least vertex of their piece, over the edges that are not ``gone``."""
+    near = adjacency(zip(frame["src"][~frame["gone"]], frame["dst"][~frame["gone"]], strict=True))
+    label: dict = {}
+    for start in sorted(set(frame["src"]) | set(frame["dst"])):
+        if start in label:
+            continue
+        label[start], waiting = start, [start]
+        while waiting:
+            for w in near[waiting.pop()]:
+                if w not in label:
+                    label[w] = start
+                    waiting.append(w)
+    return pd.DataFrame(list(label.items()), columns=["id", "label"])
+
+
 def girvan_newman(edges: DataFrame, *, component_edges: int = 20_000) -> tuple[DataFrame, float, int]:
     """Communities ``(id, label)`` of the highest modularity, that modularity, and the number of cuts made until then.
 
     Again and again all edges tied at the highest betweenness are cut; of all the
     partitions on the way into components the best is kept, of equals the first.
     Nothing that happens in one component changes another, so each component's course
-    of cuts is found by itself, all in parallel, and the courses are then interleaved by
-    betweenness, on the driver, which gets two numbers a cut, not edges. A component of
-    more than ``component_edges`` edges is refused: one task would have to hold it, and
-    the method takes time with the square of the edges.
+    of cuts is found by itself, all in parallel; the courses take turns by the keys of
+    ``_turns``, and modularity is a running sum of changes, a row a round. Only the best
+    round comes to the driver. A component of more than ``component_edges`` edges is
+    refused: one task would have to hold it, and the method takes time with the square
+    of the edges.
     """
     edges = cut_lineage(edges.select("src", "dst"))
     total = edges.count()
     if not total:
         return vertices(edges).withColumn("label", F.col("id")), 0.0, 0
     components = connected_components(edges)
-    placed = edges.join(components, edges["src"] == components["id"]).select("component", "src", "dst")
+    placed = cut_lineage(edges.join(components, edges["src"] == components["id"]).select("component", "src", "dst"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
     if sizes.where(F.col("n") > component_edges).take(1):
         raise ValueError(f"a component has more than {component_edges} edges")
@@ -290,53 +330,39 @@ def girvan_newman(edges: DataFrame, *, component_edges: int = 20_000) -> tuple[D
 
     def course(frame: pd.DataFrame) -> pd.DataFrame:
         made = component_cuts(list(zip(frame["src"], frame["dst"], strict=True)), total)
-        rows = [(frame["component"].iloc[0], i, top, q, [{"a": a, "b": b} for a, b in cut]) for i, (top, q, cut) in enumerate(made)]
-        return pd.DataFrame(rows, columns=["component", "step", "top", "q", "cut"])
+        turns = [[], *_turns([top for top, _, _ in made[1:]])]
+        parts = [q for _, q, _ in made]
+        change = [q - before for q, before in zip(parts, [0.0, *parts], strict=False)]
+        rows = [(t, c, [{"a": a, "b": b} for a, b in cut]) for t, c, (_, _, cut) in zip(turns, change, made, strict=True)]
+        return pd.DataFrame(rows, columns=["turn", "change", "cut"])
 
-    schema = f"component {kind}, step int, top double, q double, cut array<struct<a: {kind}, b: {kind}>>"
+    schema = f"turn array<double>, change double, cut array<struct<a: {kind}, b: {kind}>>"
     courses = cut_lineage(placed.groupBy("component").applyInPandas(course, schema))
-    # at each round the components whose highest betweenness is highest of all move on
-    moves = courses.where(F.col("step") > 0).select("component", "step", "top", "q")
-    start = {r["component"]: r["q"] for r in courses.where(F.col("step") == 0).collect()}
-    lists: dict = defaultdict(list)
-    for r in moves.orderBy("component", "step").toLocalIterator():
-        lists[r["component"]].append((r["top"], r["q"]))
-    at = dict.fromkeys(start, 0)
-    now = sum(start.values())
-    best, best_at, best_round, rounds = now, dict(at), 0, 0
-    while True:
-        open_lists = {c: steps[at[c]][0] for c, steps in lists.items() if at[c] < len(steps)}
-        if not open_lists:
-            break
-        top = max(open_lists.values())
-        for c, own in open_lists.items():
-            if own >= top - TIE:
-                q = lists[c][at[c]][1]
-                now += q - (lists[c][at[c] - 1][1] if at[c] else start[c])
-                at[c] += 1
-        rounds += 1
-        if now > best + 1e-12:
-            best, best_at, best_round = now, dict(at), rounds
-    reached = edges.sparkSession.createDataFrame(list(best_at.items()), f"component {kind}, upto int")
+    # the first round is the graph as it is; one row a round, so the running sum may stand in one task
+    rounds = courses.groupBy("turn").agg(F.sum("change").alias("change"))
+    upto = W.orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = rounds.select("turn", F.sum("change").over(upto).alias("q"), (F.count("*").over(upto) - 1).alias("rounds"))
+    best = running.orderBy(F.desc(F.round("q", 12)), "turn").first()
+    last = F.lit(best["turn"]).cast("array<double>")
     gone = (
-        courses.join(reached, "component")
-        .where((F.col("step") > 0) & (F.col("step") <= F.col("upto")))
+        courses.where(F.col("turn") <= last)
         .select(F.explode("cut").alias("e"))
-        .select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"))
+        .select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"), F.lit(True).alias("gone"))
     )
-    rest = edges.join(gone, ["src", "dst"], "left_anti")
-    parted = connected_components(rest).withColumnRenamed("component", "label") if rest.take(1) else None
-    everyone = vertices(edges)
-    if parted is None:
-        return everyone.withColumn("label", F.col("id")), best, best_round
-    return everyone.join(parted, "id", "left").select("id", F.coalesce("label", "id").alias("label")), best, best_round
+    marked = placed.join(gone, ["src", "dst"], "left").select("component", "src", "dst", F.coalesce("gone", F.lit(False)).alias("gone"))
+    labels = marked.groupBy("component").applyInPandas(_pieces_of, f"id {kind}, label {kind}")
+    return labels, best["q"], best["rounds"]
 
 
 def communities(labels: DataFrame) -> DataFrame:
-    """``(size, members)``, ordered by size and members; for reports, as a community stands in one row."""
+    """``(size, members)``, ordered by size and members; for reports, as a community stands in one row.
+
+    Members are ordered without regard to case, those alike but for case by bytes.
+    """
+    named = F.array_sort(F.collect_list(F.struct(F.lower(F.col("id").cast("string")).alias("_l"), "id")))
     return (
         labels.groupBy("label")
-        .agg(F.sort_array(F.collect_list("id")).alias("members"))
+        .agg(F.transform(named, lambda m: m["id"]).alias("members"))
         .select(F.size("members").alias("size"), "members")
         .orderBy("size", "members")
     )

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, groupby
 from math import ceil
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage
 
-#: The scaled support that the first pass of SON leaves to a partition, if the support allows.
+#: The scaled support that the first pass of SON leaves to a part, if the support allows.
 LEAST_SCALED = 10
 
 
@@ -81,46 +83,63 @@ def frequent_itemsets(pairs: DataFrame, support: int, *, max_size: int | None =
     return found.select("items", "size", "n")
 
 
-def _as_bits(numbers: list[int], total: int) -> int:
-    """A set of numbers below ``total`` as the bits of one."""
-    out = bytearray(total // 8 + 1)
-    for n in numbers:
-        out[n >> 3] |= 1 << (n & 7)
-    return int.from_bytes(out, "little")
+def basket_part(basket: str, parts: int) -> Column:
+    """The part a basket belongs to, by the digits of its MD5, so that other engines deal them alike."""
+    digits = F.conv(F.substring(F.md5(F.col(basket).cast("string").cast("binary")), 1, 12), 16, 10)
+    return F.pmod(digits.cast("bigint"), F.lit(parts)).cast("int")
 
 
-def son_candidates(pairs: DataFrame, support: int, total: int, *, max_size: int | None = None) -> DataFrame:
-    """The first pass of SON: itemsets frequent within a partition, by scaled support. ``items`` and ``size``.
+def son_parts(total: int, support: int, per_part: int) -> int:
+    """About ``per_part`` baskets a part, but no more parts than leave a scaled support of ``LEAST_SCALED``."""
+    return max(1, min(total // per_part, support // LEAST_SCALED))
 
-    A superset of the frequent itemsets that depends on how baskets are partitioned;
-    for exact results use ``frequent_itemsets``. A partition's baskets are held in its
-    worker's memory; the loop ends when a level is empty. Where a partition's scaled
-    support is one, every subset of every basket is frequent: so there are no more
-    partitions than leave a scaled support of about ``LEAST_SCALED``.
+
+def _as_bits(flags: np.ndarray) -> int:
+    """A set, given as flags, as the bits of one number."""
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _local_itemsets(baskets_of: np.ndarray, items: np.ndarray, names: list, total: int, least: int, max_size: int | None) -> Iterator[tuple[int, list[tuple]]]:
+    """Level by level the sets in at least ``least`` of ``total`` baskets, given as numbered distinct pairs."""
+    level: dict[tuple, int] = {}
+    for i in np.flatnonzero(np.bincount(items, minlength=len(names)) >= least).tolist():
+        flags = np.zeros(total, bool)
+        flags[baskets_of[items == i]] = True
+        level[names[i],] = _as_bits(flags)
+    size = 1
+    while level:
+        yield size, list(level)
+        if size == max_size:
+            return
+        following: dict[tuple, int] = {}
+        for _, group in groupby(sorted(level), key=lambda c: c[:-1]):
+            for x, y in combinations(group, 2):
+                own = level[x] & level[y]
+                if own.bit_count() >= least:
+                    following[x + y[-1:]] = own
+        level, size = following, size + 1
+
+
+def son_candidates(pairs: DataFrame, support: int, total: int, *, max_size: int | None = None, per_part: int = 50_000) -> DataFrame:
+    """The first pass of SON: itemsets frequent within a part of the baskets, by scaled support. ``items`` and ``size``.
+
+    A superset of the frequent itemsets; for exact results use ``frequent_itemsets``.
+    Baskets are dealt by a hash to parts of about ``per_part``, so that the result does
+    not depend on the cluster. A part is held in its worker's memory, a bit for each basket and
+    frequent set; the loop ends when a level is empty. Where a part's scaled support is
+    one, every subset of every basket is frequent: so there are no more parts than leave
+    a scaled support of about ``LEAST_SCALED``.
     """
-    def local(frames):
-        numbers: dict = {}
-        seen: dict = {}
-        for frame in frames:
-            for b, i in zip(frame["basket"], frame["item"], strict=True):
-                seen.setdefault(i, []).append(numbers.setdefault(b, len(numbers)))
-        least = max(1, ceil(support * len(numbers) / total - 1e-9)) if total else 1
-        # each set with the baskets that hold it
-        level = {(i,): _as_bits(own, len(numbers)) for i, own in seen.items() if len(own) >= least}
-        level = {c: own for c, own in level.items() if own.bit_count() >= least}
-        size = 1
-        while level:
-            yield pd.DataFrame({"items": [list(c) for c in level], "size": [size] * len(level)})
-            if size == max_size:
-                break
-            following: dict[tuple, int] = {}
-            for _, group in groupby(sorted(level), key=lambda c: c[:-1]):
-                for x, y in combinations(group, 2):
-                    own = level[x] & level[y]
-                    if own.bit_count() >= least:
-                        following[x + y[-1:]] = own
-            level, size = following, size + 1
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        numbers, _ = pd.factorize(frame["basket"])
+        items, names = pd.factorize(frame["item"], sort=True)
+        count = int(numbers.max()) + 1
+        least = max(1, ceil(support * count / total - 1e-9)) if total else 1
+        found = [(list(c), size) for size, level in _local_itemsets(numbers, items, list(names), count, least, max_size) for c in level]
+        return pd.DataFrame(found, columns=["items", "size"])
 
     kind = dict(pairs.dtypes)["item"]
-    width = max(1, min(shuffle_width(pairs.sparkSession), support // LEAST_SCALED))
-    return pairs.repartition(width, "basket").mapInPandas(local, f"items array<{kind}>, size int").distinct()
+    parts = son_parts(total, support, per_part)
+    dealt = pairs.select(basket_part("basket", parts).alias("_part"), "basket", "item")
+    return dealt.groupBy("_part").applyInPandas(local, f"items array<{kind}>, size int").distinct()

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def count_distinct_with_null(column: str) -> Column:
     """Distinct values of a column, null counting as one of them."""
@@ -63,6 +66,23 @@ def partition_rows(df: DataFrame, partitions: int) -> DataFrame:
     return every.join(counted, "partition", "left").select("partition", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def dense_index(df: DataFrame, column: str) -> DataFrame:
+    """``(value, index)``: the distinct values of a column in order, numbered from 0; a null is no value.
+
+    Sorted by ranges, so no task has all values: each is numbered within its partition,
+    and partitions are shifted by how many values lie before them, a row a partition.
+    """
+    values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    # materialised, so that partitions are the same ones when they are counted and numbered
+    placed = cut_lineage(values.orderBy("value").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    counted = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = counted.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(shifts), "_part").select("value", (own + F.col("_shift")).alias("index"))
+
+
 def first_letter_bucket(key: str, buckets: int) -> Column:
     """The bucket a key goes to by the code of its first character; null keys to bucket 0."""
     return F.coalesce(F.pmod(F.ascii(key), F.lit(buckets)), F.lit(0))

@@ -73,15 +73,10 @@ def lsh_candidates(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
     return expanded.select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"))
 
 
-def verify_jaccard(candidates: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """``(id_1, id_2, similarity)`` of candidates that are similar enough, by exact overlap."""
+def similar_overlaps(overlaps: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """``(id_1, id_2, similarity)`` of pairs of sets with a known ``overlap`` that are similar enough."""
     sizes = pairs.groupBy("id").agg(F.count("*").alias("n"))
-    one = pairs.select(F.col("id").alias("id_1"), "token")
-    two = pairs.select(F.col("id").alias("id_2"), "token")
-    overlap = (
-        candidates.join(one, "id_1").join(two, ["id_2", "token"]).groupBy("id_1", "id_2").agg(F.count("*").alias("overlap"))
-    )
-    sized = overlap.join(sizes.select(F.col("id").alias("id_1"), F.col("n").alias("n_1")), "id_1").join(
+    sized = overlaps.join(sizes.select(F.col("id").alias("id_1"), F.col("n").alias("n_1")), "id_1").join(
         sizes.select(F.col("id").alias("id_2"), F.col("n").alias("n_2")), "id_2"
     )
     union = F.col("n_1") + F.col("n_2") - F.col("overlap")
@@ -90,6 +85,16 @@ def verify_jaccard(candidates: DataFrame, pairs: DataFrame, threshold: Fraction)
     )
 
 
+def verify_jaccard(candidates: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """``(id_1, id_2, similarity)`` of candidates that are similar enough, by exact overlap."""
+    one = pairs.select(F.col("id").alias("id_1"), "token")
+    two = pairs.select(F.col("id").alias("id_2"), "token")
+    overlap = (
+        candidates.join(one, "id_1").join(two, ["id_2", "token"]).groupBy("id_1", "id_2").agg(F.count("*").alias("overlap"))
+    )
+    return similar_overlaps(overlap, pairs, threshold)
+
+
 def overlap_pairs(pairs: DataFrame, least: int) -> DataFrame:
     """``(id_1 < id_2, overlap)`` of sets that share at least ``least`` tokens.
 

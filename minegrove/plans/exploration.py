@@ -71,6 +71,12 @@ def default_lookup(spark: SparkSession, d: str) -> DataFrame:
     return R.lookup(pairs, places, "item", {"place_stars": 2.5, "place_reviews": 0})
 
 
+def dense_index(spark: SparkSession, d: str) -> DataFrame:
+    """The users of yelp_train in order, numbered from 0."""
+    users = table(spark, d, "yelp_train").select(clean_id("user_id").alias("user_id"))
+    return R.dense_index(users, "user_id").select(F.col("value").alias("user_id"), "index")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +89,7 @@ QUERIES = {
         semi_join_features,
         cold_start_anti,
         default_lookup,
+        dense_index,
     )
 }
 
@@ -108,4 +115,6 @@ select * from flagged where not (user_known and item_known)""",
     "default_lookup": f"""with {V.TARGETS}, places as (
 select {_PLACE} as b, max(stars) as st, max(review_count) as rc from business group by 1)
 select u as user, b as item, coalesce(st, 2.5) as place_stars, coalesce(rc, 0) as place_reviews from targets left join places using (b)""",
+    "dense_index": f"""select user_id, row_number() over (order by user_id) - 1 as index from (
+select distinct {V.sql_id('user_id')} as user_id from yelp_train) where user_id is not null""",
 }

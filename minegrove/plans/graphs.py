@@ -62,6 +62,14 @@ def bfr_summaries(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumns(rounded)
 
 
+def bfr_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The label whose embeddings' summary is nearest to each embedding, within twice the root of the dimensions."""
+    points = _points(spark, d)
+    clusters = B.read_summaries(B.summaries(points, "label"))  # one a label
+    dimensions = len(next(iter(clusters.values())).sum) if clusters else 0
+    return B.nearest(points.drop("label").where("features is not null"), clusters, 2 * dimensions**0.5).select("id", "label")
+
+
 def bfr_rounds(spark: SparkSession, d: str) -> DataFrame:
     """How clustering the embeddings by summaries went, chunk by chunk."""
     return B.bfr(_points(spark, d), 10, least=5).rounds
@@ -82,6 +90,7 @@ QUERIES = {
         edge_betweenness,
         girvan_newman,
         bfr_summaries,
+        bfr_nearest,
         bfr_rounds,
         bfr_assignments,
     )
@@ -129,6 +138,11 @@ p as (select s, v, d, 1.0::double as n from t where d = 0
 x as (select least(l.a, l.b) as src, greatest(l.a, l.b) as dst, i.n * o.n / w.n as part
   from l join p i on i.v = l.a join p o on o.s = l.b join p w on w.s = i.s and w.v = o.v and w.d = i.d + 1 + o.d)
 select src, dst, round(sum(part) / 2, 6) as betweenness from x group by src, dst""",
+    "bfr_nearest": """with f as (select vec_id as id, label, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings),
+c as (select label, i, avg(x) as m, sqrt(greatest(sum(x * x) / count(*) - (sum(x) / count(*)) ** 2, 0)) as sd from f where label is not null group by label, i),
+d as (select id, c.label, count(*) as dims, sqrt(sum(case when x = m then 0 else ((x - m) / sd) ** 2 end)) as far from f join c using (i) group by id, c.label),
+k as (select *, row_number() over (partition by id order by far, label) as k from d)
+select id, case when far < 2 * sqrt(dims) then cast(label as int) end as label from k where k = 1""",
     "bfr_summaries": """with f as (select label, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings),
 d as (select label, i, count(*) as n, sum(x) as s, sum(x * x) as q from f group by label, i)
 select label, any_value(n) as n, list(round(s, 4) order by i) as sum, list(round(q, 4) order by i) as sumsq from d group by label""",

@@ -22,6 +22,7 @@ HALF = Fraction(1, 2)
 LEAST_USERS = 5
 CORATED = 5
 SUPPORT_PERCENT = 5
+BASKETS_A_PART = 1000
 
 
 def baskets_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -45,27 +46,18 @@ def _small_baskets(spark: SparkSession, d: str) -> DataFrame:
     return I.baskets(rows, "u", "b")
 
 
-def _frequent_itemsets(spark: SparkSession, d: str, max_size: int | None) -> DataFrame:
-    pairs = _small_baskets(spark, d)
-    support = max(1, ceil(pairs.select("basket").distinct().count() * SUPPORT_PERCENT / 100))
-    return I.frequent_itemsets(pairs, support, max_size=max_size)
-
-
 def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    """Sets of up to three businesses in at least 5 % of the baskets, as far as its SQL goes; ``all_frequent_itemsets`` has the rest."""
-    return _frequent_itemsets(spark, d, 3)
-
-
-def all_frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
     """Sets of any number of businesses in at least 5 % of the baskets."""
-    return _frequent_itemsets(spark, d, None)
+    pairs = _small_baskets(spark, d)
+    support = max(1, ceil(pairs.select("basket").distinct().count() * SUPPORT_PERCENT / 100))
+    return I.frequent_itemsets(pairs, support)
 
 
 def son_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Itemsets of any size frequent in some partition by scaled support; depends on the partitions."""
+    """Itemsets of any size frequent in some part of the baskets by scaled support."""
     pairs = _small_baskets(spark, d)
     total = pairs.select("basket").distinct().count()
-    return I.son_candidates(pairs, max(1, ceil(total * SUPPORT_PERCENT / 100)), total)
+    return I.son_candidates(pairs, max(1, ceil(total * SUPPORT_PERCENT / 100)), total, per_part=BASKETS_A_PART)
 
 
 def _large_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -78,8 +70,7 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Businesses of five users or more that share at least half of them, by exact overlap."""
     pairs = _large_sets(spark, d)
     least = ceil(HALF * 2 * LEAST_USERS / (1 + HALF))
-    met = S.overlap_pairs(pairs, least).select("id_1", "id_2")
-    return S.verify_jaccard(met, pairs, HALF).withColumn("similarity", F.round("similarity", 6))
+    return S.similar_overlaps(S.overlap_pairs(pairs, least), pairs, HALF).withColumn("similarity", F.round("similarity", 6))
 
 
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +168,6 @@ QUERIES = {
         baskets_filtered,
         transaction_baskets,
         frequent_itemsets,
-        all_frequent_itemsets,
         son_candidates,
         jaccard_pairs,
         minhash_signature,
@@ -194,12 +184,17 @@ QUERIES = {
     )
 }
 
-_BASKETS = f"""e as (
+_BASKETS = f"""p as (
   select distinct {V.sql_id('user_id')} as u, {V.sql_id('business_id')} as b from small2
   where {V.sql_id('user_id')} is not null and {V.sql_id('business_id')} is not null),
-s as (select greatest(1, ceil(count(distinct u) * {SUPPORT_PERCENT} / 100.0)) as least from e),
-f1 as (select b, count(*) as n from e group by b having count(*) >= (select least from s)),
-k as (select e.* from e join f1 using (b))"""
+s as (select count(distinct u) as total, cast(greatest(1, ceil(count(distinct u) * {SUPPORT_PERCENT} / 100.0)) as bigint) as support from p)"""
+# occurrences of the sets that are frequent in their part of e (part, u, b, least), each grown by a later item, until a level is empty
+_GROWN = """o as (
+  select part, u, [b] as items from (select *, count(*) over (partition by part, b) as n from e) where n >= least
+  union all
+  select part, u, items from (
+    select o.part, o.u, list_append(o.items, e.b) as items, e.least, count(*) over (partition by o.part, list_append(o.items, e.b)) as n
+    from o join e on e.part = o.part and e.u = o.u and e.b > o.items[-1]) where n >= least)"""
 _LARGE = f"""{V.EDGES}, n as (select b, count(*) as n from e group by b having count(*) >= {LEAST_USERS}),
 t as (select e.b, e.u, n from e join n using (b))"""
 _JACCARD = """o as (select x.b as b1, y.b as b2, x.n as n1, y.n as n2, count(*) as o from t x join t y on x.u = y.u and x.b < y.b group by all),
@@ -242,11 +237,14 @@ select u as basket, b as item from e where u in (select u from e group by u havi
     "transaction_baskets": """with e as (
 select distinct strftime(o_orderdate, '%Y-%m-%d') || '-' || o_custkey as basket, l_partkey as item from orders join lineitem on l_orderkey = o_orderkey)
 select basket, item from e where basket in (select basket from e group by basket having count(*) > 8)""",
-    "frequent_itemsets": f"""with {_BASKETS}
-select [b] as items, 1 as size, n from f1
-union all select [x.b, y.b], 2, count(*) as n from k x join k y on x.u = y.u and x.b < y.b group by x.b, y.b having count(*) >= (select least from s)
-union all select [x.b, y.b, z.b], 3, count(*) as n from k x join k y on x.u = y.u and x.b < y.b join k z on z.u = y.u and y.b < z.b
-group by x.b, y.b, z.b having count(*) >= (select least from s)""",
+    "frequent_itemsets": f"""with recursive {_BASKETS}, e as (select 0 as part, u, b, support as least from p, s), {_GROWN}
+select items, cast(len(items) as int) as size, count(*) as n from o group by items""",
+    "son_candidates": f"""with recursive {_BASKETS},
+w as (select total, support, greatest(1, least(total // {BASKETS_A_PART}, support // {I.LEAST_SCALED})) as parts from s),
+q as (select cast(('0x' || substr(md5(u), 1, 12)) as bigint) % parts as part, u, b, support, total from p, w),
+l as (select part, greatest(1, ceil(any_value(support) * count(distinct u) / any_value(total)::double - 1e-9)) as least from q group by part),
+e as (select q.part, u, b, least from q join l using (part)), {_GROWN}
+select distinct items, cast(len(items) as int) as size from o""",
     "jaccard_pairs": f"with {_LARGE}, {_JACCARD} select * from j",
     "minhash_signature": f"with {V.EDGES}, {_signature('e')} select id, signature from g",
     "lsh_candidates": f"with {_BANDED} select * from c",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -17,6 +18,9 @@ DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+#: Applications whose checkpoint folder was set here.
+_own: set[str] = set()
+
 
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g", app: str = "minegrove") -> SparkSession:
     """A single-JVM session for tests and benches; clusters bring their own."""
@@ -47,11 +51,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="minegrove-checkpoint-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
+    _own.add(context.applicationId)
+
+
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Delete what this application has materialised in the shared folder, when its results are written.
+
+    Spark itself does so only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` was
+    set before it started. A folder that something else has set stays.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _own:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.delete(path, True)
+    files.mkdirs(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def itemset_lines(itemsets: DataFrame) -> DataFrame:
     )
 
 
+def itemset_report(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``line``: the candidates of the first pass and the frequent itemsets, each under its heading, a line a size."""
+    spark, made = candidates.sparkSession, None
+    for section, (heading, sets) in enumerate((("Candidates:", candidates), ("Frequent Itemsets:", frequent))):
+        head = spark.createDataFrame([(section, 0, heading)], "section int, size int, line string")
+        lines = head.unionByName(itemset_lines(sets).select(F.lit(section).alias("section"), "size", "line"))
+        made = lines if made is None else made.unionByName(lines)
+    return made.orderBy("section", "size").select("line")
+
+
 def community_lines(communities: DataFrame) -> DataFrame:
     """``line``: a community a line, members quoted; input ordered by size and members."""
     member = F.transform("members", lambda x: F.concat(F.lit("'"), x.cast("string"), F.lit("'")))

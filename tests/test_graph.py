@@ -155,3 +155,27 @@ def test_modularity_with_the_diagonal(spark):
 def test_communities_are_ordered(spark):
     labels = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2), ("d", 3)], "id string, label int")
     assert [(r[0], r[1]) for r in G.communities(labels).collect()] == [(1, ["c"]), (1, ["d"]), (2, ["a", "b"])]
+
+
+def test_members_are_ordered_without_case(spark):
+    labels = spark.createDataFrame([("b", 1), ("A", 1), ("a", 1), ("C", 1)], "id string, label int")
+    assert G.communities(labels).first()["members"] == ["A", "a", "b", "C"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_turns_are_those_of_the_whole_graph(seed):
+    """Always the highest next cut of all components; sorted keys give the same rounds."""
+    rng = random.Random(seed)
+    lists = [[float(rng.randrange(1, 6)) for _ in range(rng.randrange(1, 7))] for _ in range(rng.randrange(1, 5))]
+    at, want = [0] * len(lists), []
+    while any(at[c] < len(own) for c, own in enumerate(lists)):
+        top = max(own[at[c]] for c, own in enumerate(lists) if at[c] < len(own))
+        now = [c for c, own in enumerate(lists) if at[c] < len(own) and own[at[c]] == top]
+        want.append({(c, at[c]) for c in now})
+        for c in now:
+            at[c] += 1
+    keyed = defaultdict(set)
+    for c, own in enumerate(lists):
+        for i, key in enumerate(G._turns(own)):
+            keyed[tuple(key)].add((c, i))
+    assert [keyed[k] for k in sorted(keyed)] == want

@@ -10,7 +10,7 @@ import pytest
 
 QUERIES = {n: q for m in entry.CORE for n, q in import_module(f"minegrove.plans.{m}").QUERIES.items()}
 #: Queries whose operators need Python workers or fit models.
-WITH_PYTHON = {"son_candidates", "edge_betweenness", "girvan_newman", "gbt_predict", "hybrid_predict", "bfr_assignments", "bfr_rounds"}
+WITH_PYTHON = {"son_candidates", "edge_betweenness", "girvan_newman", "gbt_predict", "hybrid_predict", "bfr_assignments", "bfr_rounds", "bfr_nearest"}
 #: The columns that some scans may read at most.
 COLUMNS = {
     "review_summary": {"review": {"user_id", "business_id", "date"}},
