@@ -7,18 +7,22 @@ the shared checkpoint folder.
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.skew import salted_join
 from ..session import cut_lineage
 from .similarity import overlap_pairs
 
 #: Betweenness within this of the highest is tied with it.
 TIE = 1e-9
+#: A graph of no more edges is searched in one task, with the same result: rounds of joins would cost more than they share out.
+ONE_TASK_EDGES = 200_000
 
 
 def cooccurrence_graph(pairs: DataFrame, least: int) -> DataFrame:
@@ -35,24 +39,81 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """``(id, label)`` after so many synchronous rounds: the neighbours' most frequent label, of equals the least."""
+def _in_one_task(edges: DataFrame, found: Callable[[np.ndarray, np.ndarray, int], np.ndarray], name: str) -> DataFrame:
+    """``(id, name)`` by a function of numbered ends and the number of vertices; numbers are in the order of the ids. Materialised."""
+    kind = dict(edges.dtypes)["src"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        numbers, ids = pd.factorize(pd.concat([frame["src"], frame["dst"]], ignore_index=True), sort=True)
+        labels = found(numbers[: len(frame)], numbers[len(frame) :], len(ids))
+        return pd.DataFrame({"id": ids, name: np.asarray(ids)[labels]})
+
+    return cut_lineage(edges.select("src", "dst", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"id {kind}, {name} {kind}"))
+
+
+def _is_small(edges: DataFrame, bound: int) -> bool:
+    return edges.limit(bound + 1).count() <= bound
+
+
+def _propagated(src: np.ndarray, dst: np.ndarray, n: int, rounds: int) -> np.ndarray:
+    """Labels after so many rounds, as numbers of vertices."""
+    giver, taker = np.concatenate([src, dst]), np.concatenate([dst, src])
+    labels = np.arange(n)
+    for _ in range(rounds):
+        votes, count = np.unique(taker * n + labels[giver], return_counts=True)
+        who, label = np.divmod(votes, n)
+        order = np.lexsort((label, -count, who))
+        first = order[np.unique(who[order], return_index=True)[1]]
+        labels = labels.copy()
+        labels[who[first]] = label[first]
+    return labels
+
+
+def _least_reached(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex of each one's component, by hooking roots on lesser ones and halving paths."""
+    parent = np.arange(n)
+    while True:
+        a, b = parent[src], parent[dst]
+        apart = a != b
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+
+
+def label_propagation(edges: DataFrame, rounds: int = 5, *, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """``(id, label)`` after so many synchronous rounds: the neighbours' most frequent label, of equals the least.
+
+    Up to ``one_task`` edges in one task, else a join a round, with the vertices of more
+    than a share of the links dealt to several tasks.
+    """
+    edges = cut_lineage(edges.select("src", "dst"))
+    if _is_small(edges, one_task):
+        return _in_one_task(edges, lambda a, b, n: _propagated(a, b, n, rounds), "label")
     links = cut_lineage(both_ways(edges))
+    degrees = cut_lineage(links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_n")))
     labels = vertices(edges).withColumn("label", F.col("id"))
     best = W.partitionBy("id").orderBy(F.desc("n"), F.asc("label"))
+    ends = links.withColumnsRenamed({"src": "id"})
     for _ in range(rounds):
-        votes = links.join(labels, links["src"] == labels["id"]).groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("n"))
+        told = salted_join(ends, labels, "id", how="inner", spread=F.col("dst"), counts=degrees)
+        votes = told.groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("n"))
         labels = cut_lineage(votes.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("id", "label"))
     return labels
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, *, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """``(id, component)``: the least id that can be reached.
 
-    Alternates between hanging larger neighbours, then smaller ones, on the least of a
-    neighbourhood, so the number of rounds grows with the logarithm of the diameter's
-    order, not with the diameter; a long chain does not need a round for each vertex.
+    Up to ``one_task`` edges in one task. Beyond, it alternates between hanging larger
+    neighbours, then smaller ones, on the least of a neighbourhood, so the number of
+    rounds grows with the logarithm of the diameter's order, not with the diameter; a
+    long chain does not need a round for each vertex.
     """
+    edges = cut_lineage(edges.select("src", "dst"))
+    if _is_small(edges, one_task):
+        return _in_one_task(edges.where("src <> dst"), _least_reached, "component")
     links = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
     before = None
     while True:

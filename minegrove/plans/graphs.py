@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as B
 from ..operators import graph as G
+from ..session import cut_lineage
 from ..sources import table
 from . import views as V
 
@@ -36,7 +37,7 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 
 def modularity(spark: SparkSession, d: str) -> DataFrame:
     """The modularity of its components."""
-    edges = _graph(spark, d)
+    edges = cut_lineage(_graph(spark, d))
     labels = G.connected_components(edges).withColumnRenamed("component", "label")
     return G.modularity(edges, labels).select(F.round("q", 9).alias("q"))
 
