@@ -7,6 +7,10 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import salted_join
+from ..session import cut_lineage
+from .setjoin import numbered
+
 #: Counts multiply to more than a bigint holds.
 WIDE = "decimal(38,0)"
 
@@ -28,7 +32,7 @@ def collapse_baskets(pairs: DataFrame) -> DataFrame:
     """``(items, weight)``: each different set of items once, with the number of baskets that are it.
 
     ``pairs``: distinct ``(basket, item)``. The arrays are as long as a basket has
-    items, so items that cannot matter should be left out before.
+    items, so items that cannot matter, and giant baskets, should be left out before.
     """
     baskets = pairs.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     return baskets.groupBy("items").agg(F.count("*").alias("weight"))
@@ -63,6 +67,26 @@ def _enumerate(collapsed: DataFrame, block: int) -> DataFrame:
     return short.unionByName(across).unionByName(same)
 
 
+def _of_giants(pairs: DataFrame, block: int) -> DataFrame:
+    """``(item_1, item_2, weight)`` of baskets too large for an array, given as ``(basket, item, n)``.
+
+    The items of a basket are dealt to blocks by hash, and every two blocks, and each with
+    itself, meet in a task of their own, so a basket is a task's work nowhere.
+    """
+    dealt = pairs.withColumn("_blocks", F.ceil(F.col("n") / block).cast("int")).withColumn(
+        "_own", F.pmod(F.xxhash64("item"), F.col("_blocks")).cast("int")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    keyed = dealt.withColumn("_other", other).select(
+        "basket", "item", "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi")
+    )
+    a = keyed.withColumnsRenamed({"item": "item_1", "_own": "_own_1"})
+    b = keyed.withColumnsRenamed({"item": "item_2", "_own": "_own_2"})
+    met = a.join(b, ["basket", "_lo", "_hi"]).where(F.col("item_1") < F.col("item_2"))
+    apart = (F.col("_own_1") != F.col("_own_2")) | (F.col("_lo") == F.col("_hi"))
+    return met.where(apart).select("item_1", "item_2", F.lit(1).cast("bigint").alias("weight"))
+
+
 def pair_counts(
     df: DataFrame,
     basket: str,
@@ -72,6 +96,7 @@ def pair_counts(
     min_share: Fraction | float = 0,
     min_lift: Fraction | float = 0,
     block: int = 512,
+    array_limit: int = 10_000,
 ) -> DataFrame:
     """Pairs of items by the number of baskets that hold both, with lift and conviction.
 
@@ -82,21 +107,26 @@ def pair_counts(
     Columns: ``item_1 < item_2`` (byte order), ``n1``, ``n2``, ``n12``, ``baskets`` (N),
     ``lift``, ``conviction`` (of item_1 => item_2; null where item_1 never comes without item_2).
 
-    First items are left out that lie in too few baskets for any pair to be kept,
-    which loses nothing and bounds what is left: at most mean basket size / min_share
-    items. Then baskets with equal item sets are collapsed into weights, pairs are
-    listed once for each different basket, and weights are summed.
+    The distinct rows are materialised once, with baskets and items as numbers. Then items
+    are left out that lie in too few baskets for any pair to be kept, which loses
+    nothing and bounds what is left: at most mean basket size / min_share items. Baskets
+    with equal item sets are collapsed into weights, pairs are listed once for each
+    different basket, and weights are summed. Baskets that still have more than
+    ``array_limit`` items are never one row: pairs of their blocks meet in tasks of their own.
 
     Repeated rows count once; baskets of one item count in N; null items and baskets
     are no rows. An empty table gives an empty result.
     """
     share, lift = _fraction(min_share), _fraction(min_lift)
-    pairs = basket_items(df, basket, item)
+    rows = df.select(F.col(basket).alias("basket"), F.col(item).alias("item"))
+    rows = rows.where(F.col("basket").isNotNull() & F.col("item").isNotNull())
+    number = numbered(rows, "item")
+    pairs = cut_lineage(basket_items(rows.select(numbered(rows, "basket").alias("basket"), number.alias("item")), "basket", "item"))
     total = pairs.select("basket").distinct().agg(F.count("*").alias("baskets")).withColumn("_one", F.lit(1))
     enough = (F.col("_n") >= min_count) & (
         F.col("_n").cast(WIDE) * F.lit(share.denominator) >= F.col("baskets").cast(WIDE) * F.lit(share.numerator)
     )
-    counts = (
+    counts = cut_lineage(
         pairs.groupBy("item")
         .agg(F.count("*").alias("_n"))
         .withColumn("_one", F.lit(1))
@@ -105,7 +135,16 @@ def pair_counts(
         .select("item", "_n", "baskets")
     )
     kept = pairs.join(counts.select("item"), "item", "left_semi")
-    listed = _enumerate(collapse_baskets(kept), block)
+    listed = None
+    if counts.count() > array_limit:  # else no basket can have more items
+        sizes = kept.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > array_limit)
+        giants = cut_lineage(sizes)
+        if giants.take(1):
+            sized = salted_join(kept, giants, "basket", how="inner", spread=F.col("item"))
+            listed = _of_giants(sized, block)
+            kept = kept.join(giants, "basket", "left_anti")
+    short = _enumerate(collapse_baskets(kept), block)
+    listed = short if listed is None else short.unionByName(listed)
     together = listed.groupBy("item_1", "item_2").agg(F.sum("weight").alias("n12")).where(F.col("n12") >= min_count)
     one = counts.select(F.col("item").alias("item_1"), F.col("_n").alias("n1"), "baskets")
     two = counts.select(F.col("item").alias("item_2"), F.col("_n").alias("n2"))
@@ -114,6 +153,20 @@ def pair_counts(
     joined = joined.where(n12 * F.lit(share.denominator) >= n * F.lit(share.numerator))
     if lift:
         joined = joined.where(n12 * n * F.lit(lift.denominator) >= n1 * n2 * F.lit(lift.numerator))
+    # by their own names again, in their order
+    named = rows.select("item", number.alias("no")).distinct()
+    for end in (1, 2):
+        own = named.select(F.col("no").alias(f"item_{end}"), F.col("item").alias(f"name_{end}"))
+        joined = joined.join(own, f"item_{end}")
+    swap = F.col("name_1") > F.col("name_2")
+    joined = joined.select(
+        F.least("name_1", "name_2").alias("item_1"),
+        F.greatest("name_1", "name_2").alias("item_2"),
+        F.when(swap, F.col("n2")).otherwise(F.col("n1")).alias("n1"),
+        F.when(swap, F.col("n1")).otherwise(F.col("n2")).alias("n2"),
+        "n12",
+        "baskets",
+    )
     real = {c: F.col(c).cast("double") for c in ("n12", "n1", "n2", "baskets")}
     conviction = F.when(
         F.col("n12") < F.col("n1"),

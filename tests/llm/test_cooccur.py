@@ -32,11 +32,11 @@ def brute(rows, min_count, share, lift):
     }
 
 
-@pytest.mark.parametrize("block", [3, 512])
+@pytest.mark.parametrize(("block", "array_limit"), [(3, 10_000), (512, 10_000), (3, 6)])
 @pytest.mark.parametrize(("least", "share", "lift"), [(1, 0, 0), (5, Fraction(5, 1000), Fraction(3, 2)), (2, 0.05, 1.0)])
-def test_pair_counts(spark, rows, block, least, share, lift):
+def test_pair_counts(spark, rows, block, array_limit, least, share, lift):
     df = spark.createDataFrame([(u, b, 1, "x") for u, b in rows], "u string, b string, n1 int, basket string")
-    got = pair_counts(df, "u", "b", min_count=least, min_share=share, min_lift=lift, block=block).collect()
+    got = pair_counts(df, "u", "b", min_count=least, min_share=share, min_lift=lift, block=block, array_limit=array_limit).collect()
     want = brute(rows, least, Fraction(str(share)), Fraction(str(lift)))
     assert {(r["item_1"], r["item_2"]): (r["n1"], r["n2"], r["n12"], r["baskets"]) for r in got} == want
     for r in got:
