@@ -33,11 +33,13 @@ def main(arguments: list[str] | None = None) -> None:
     builder = SparkSession.builder.appName("minegrove")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
+    own = SparkSession.getActiveSession() is None
     spark = builder.getOrCreate()
     try:
         function(spark, **chosen)
     finally:
-        clear_checkpoints(spark)
+        if own:
+            clear_checkpoints(spark)
 
 
 if __name__ == "__main__":

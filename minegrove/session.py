@@ -18,10 +18,6 @@ DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
-#: Applications whose checkpoint folder was set here.
-_own: set[str] = set()
-
-
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g", app: str = "minegrove") -> SparkSession:
     """A single-JVM session for tests and benches; clusters bring their own."""
     builder = (
@@ -56,17 +52,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         shared = tempfile.mkdtemp(prefix="minegrove-checkpoint-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
-    _own.add(context.applicationId)
 
 
 def clear_checkpoints(spark: SparkSession) -> None:
-    """Delete what this application has materialised in the shared folder, when its results are written.
+    """Delete all that this application has checkpointed, when its results are written and it is about to end.
 
     Spark itself does so only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` was
-    set before it started. A folder that something else has set stays.
+    set before it started. Other applications have other folders below the shared one.
     """
     context = spark.sparkContext
-    if context.applicationId not in _own:
+    if not context.getCheckpointDir():
         return
     path = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
     files = path.getFileSystem(context._jsc.hadoopConfiguration())

@@ -90,3 +90,18 @@ def test_reports(spark, tmp_path):
     (file,) = (tmp_path / "out").glob("*.csv")
     assert file.read_bytes() == b"src,dst,betweenness\ra,b,1.0\ra,c,2.5\r"
     sinks.write_lines(sinks.betweenness_lines(scored), str(tmp_path / "lines"), one_file=True)
+
+
+def test_dense_index(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("b", 4), ("Z", 5), ("c", 6)], "value string, index int").repartition(4)
+    got = {r["value"]: r["index"] for r in R.dense_index(df, "value").collect()}
+    assert got == {"Z": 0, "a": 1, "b": 2, "c": 3}
+    many = spark.range(0, 5000, 1, 7).selectExpr("id * 3 as v")
+    assert all(r["value"] == 3 * r["index"] for r in R.dense_index(many, "v").collect())
+    assert R.dense_index(df.limit(0), "value").count() == 0
+
+
+def test_itemset_report(spark):
+    sets = spark.createDataFrame([(["b"], 1), (["a"], 1), (["a", "b"], 2)], "items array<string>, size int")
+    lines = [r["line"] for r in sinks.itemset_report(sets, sets.where("size = 1")).collect()]
+    assert lines == ["Candidates:", "('a'),('b')", "('a', 'b')", "Frequent Itemsets:", "('a'),('b')"]
