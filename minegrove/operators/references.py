@@ -53,6 +53,12 @@ def _versions(ref: Reference, columns: list[str]) -> DataFrame:
     )
 
 
+def _target_keys(ref: Reference, columns: list[str]) -> DataFrame:
+    """The distinct keys of the target, ``_key``, that are not null in these columns."""
+    rows = ref.target.select(*[F.col(ref.keys[c]).alias(f"_t{i}") for i, c in enumerate(columns)]).dropna()
+    return _one_key(rows, rows.columns).select("_key").distinct()
+
+
 def _masks(columns: list[str], timed: bool) -> Iterator[tuple[list[str], bool]]:
     """The ways in which a key may be null that refer to something: columns that are not null, and whether the time is."""
     for there in product((True, False), repeat=len(columns)):
@@ -104,27 +110,19 @@ def orphan_references(
         if partly and ref.match == "full":
             found.append(group)
             continue
-        targets = [f"_t{i}" for i in range(len(present))]
-        versions = _one_key(_versions(ref, present), targets).drop(*targets)
-        condition = None
-        if with_time:
-            condition = (F.col("_from").isNull() | (F.col("_from") <= F.col(at))) & (
-                F.col("_to").isNull() | (F.col(at) < F.col("_to"))
-            )
-        else:
-            versions = versions.select("_key")
+        group = _one_key(group, present)
         # with and without times alike, so that the keys are counted once
         counts = _one_key(_of_mask(refs, columns, present, None, False), present).groupBy("_key").agg(F.count("*").alias("_n"))
-        kept = salted_join(
-            _one_key(group, present),
-            versions,
-            "_key",
-            how="left_anti",
-            spread=F.col(row_id),
-            condition=condition,
-            share=hot_share,
-            counts=counts,
-        )
+        how = {"spread": F.col(row_id), "share": hot_share, "counts": counts}
+        if with_time:
+            targets = [f"_t{i}" for i in range(len(present))]
+            versions = _one_key(_versions(ref, present), targets).drop(*targets)
+            spans = (F.col("_from").isNull() | (F.col("_from") <= F.col(at))) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
+            kept = salted_join(group, versions, "_key", how="left_anti", condition=spans, **how)
+        else:
+            # keys are joined before rows: both sides distinct, neither has a hot one
+            missing = group.select("_key").distinct().join(_target_keys(ref, present), "_key", "left_anti")
+            kept = salted_join(group, missing, "_key", how="left_semi", **how)
         found.append(kept.drop("_key"))
     if not found:
         return refs.limit(0).withColumn("ref_table", F.lit(ref.name))
