@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -11,6 +12,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: How text is cut into words before any merge (fixed values of the public vocabulary).
@@ -198,7 +200,8 @@ class ByteBpe:
 
 @lru_cache(maxsize=4)
 def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    """The vocabulary at this path, or else the file of this name that was added to the job."""
+    return ByteBpe(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
 
 
 def encode_texts(
@@ -206,7 +209,8 @@ def encode_texts(
 ) -> DataFrame:
     """``(doc_id, ids)``: every document's text under a byte-level BPE, without special tokens.
 
-    The file ``vocabulary`` must lie at the same path on every machine. Within a task,
+    The file ``vocabulary`` must lie at the same path on every machine, or have been given to
+    all of them by ``SparkContext.addFile``. Within a task,
     each different word is encoded once: greedy longest matches propose its tokens,
     every adjacent pair is tested for compatibility, and words with a failing pair are
     merged exactly. Nothing is shuffled.
