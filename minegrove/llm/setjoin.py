@@ -164,8 +164,10 @@ class SimilarSets:
         if right is not None:
             rows = rows.unionByName(right.select(F.lit(1).alias("side"), *named))
         rows = rows.where(F.col("id").isNotNull() & F.col("token").isNotNull())
-        # distinct values only: other stages read them again and again
-        self._rows = cut_lineage(rows.select("side", "id", numbered(rows, "token").alias("token")).distinct())
+        # distinct values only: other stages read them again and again; ids get their names back set by set
+        number = numbered(rows, "id")
+        self._names = rows.select(number.alias("id"), F.col("id").alias("name")).distinct()
+        self._rows = cut_lineage(rows.select("side", number.alias("id"), numbered(rows, "token").alias("token")).distinct())
         self._sizes = self._rows.groupBy("side", "id").agg(F.count("*").alias("size"))
         self._giants = self._sizes.where(F.col("size") > array_limit)
         self.has_giants = bool(self._giants.take(1))
@@ -187,7 +189,8 @@ class SimilarSets:
             ranked.groupBy("side", "id")
             .agg(F.array_sort(F.collect_list(F.struct("_f", "token"))).alias("_t"))
             .where(F.size("_t") >= self.min_size)
-            .select("side", "id", F.col("_t.token").alias("tokens"), F.size("_t").cast("bigint").alias("size"))
+            .join(self._names, "id")
+            .select("side", F.col("name").alias("id"), F.col("_t.token").alias("tokens"), F.size("_t").cast("bigint").alias("size"))
         )
 
     def _listed(self, end: int, places: list[tuple[int, Meeting]]) -> DataFrame:
@@ -224,7 +227,7 @@ class SimilarSets:
             condition=order,
             counts=_counts(one, "key"),
             right_spread=F.col("no_2"),
-            right_counts=_counts(two, "key"),
+            right_counts=_counts(one, "key"),
         )
         # a pair may meet more than once, and from either end
         swap = F.col("side_1") > F.col("side_2") if self.cross else F.col("no_1") > F.col("no_2")
@@ -252,7 +255,7 @@ class SimilarSets:
             how="inner",
             spread=F.col("no_1"),
             condition=condition,
-            counts=_counts(scanning, "token"),
+            counts=_counts(listed, "token"),
             right_spread=F.col("no_2"),
             right_counts=_counts(listed, "token"),
         )
@@ -288,18 +291,23 @@ class SimilarSets:
             "side", "id", "size", F.coalesce("class_id", "id").alias("class_id")
         )
 
+    def _named(self, df: DataFrame, column: str) -> DataFrame:
+        """The names of ids that are numbers."""
+        names = self._names.withColumnsRenamed({"id": column, "name": "_name"})
+        return df.join(names, column).withColumn(column, F.col("_name")).drop("_name")
+
     def _giant_classes(self) -> DataFrame:
         """The same of the giants: of those of one size, equal are the ones that share as many values."""
         keyed = self._rows.withColumn("_set", F.struct("side", "id"))
         giants = self._giants.select(F.struct("side", "id").alias("_set"), "size")
         rows = salted_join(keyed, giants, "_set", how="inner", spread=F.col("token")).drop("_set")
         one, two = rows.withColumnRenamed("id", "id_1"), rows.withColumnRenamed("id", "id_2")
-        met = one.join(two, ["side", "size", "token"]).where(F.col("id_1") < F.col("id_2"))
+        met = one.join(two, ["side", "size", "token"]).where(F.col("id_1") != F.col("id_2"))
         shared = met.groupBy("side", "size", "id_1", "id_2").agg(F.count("*").alias("_n")).where(F.col("_n") == F.col("size"))
-        least = shared.groupBy("side", F.col("id_2").alias("id")).agg(F.min("id_1").alias("class_id"))
-        return self._giants.join(least, ["side", "id"], "left").select(
-            "side", "id", "size", F.coalesce("class_id", "id").alias("class_id")
-        )
+        least = self._named(shared, "id_1").groupBy("side", F.col("id_2").alias("id")).agg(F.min("id_1").alias("class_id"))
+        each = self._named(self._giants.withColumn("_no", F.col("id")), "id")
+        told = each.join(least.withColumnRenamed("id", "_no"), ["side", "_no"], "left")
+        return told.select("side", "id", "size", F.least("id", F.coalesce("class_id", "id")).alias("class_id"))
 
     def classes(self) -> DataFrame:
         """``(side, id, size, class_id)`` of every set, however large."""
@@ -331,7 +339,7 @@ class SimilarSets:
         )
         counted = met.groupBy("side_1", "id_1", "size_1", "side_2", "id_2", "size_2").agg(F.count("*").alias("overlap"))
         similar = counted.where(_similar(F.col("overlap"), F.col("size_1"), F.col("size_2"), self.threshold))
-        return _ordered(similar, self.cross, "size")
+        return _ordered(self._named(self._named(similar, "id_1"), "id_2"), self.cross, "size")
 
     def pairs(self) -> DataFrame:
         """``(id_1, id_2, overlap, size_1, size_2)`` of all similar pairs; the lesser id, or the left table's, first."""
