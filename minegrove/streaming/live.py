@@ -14,35 +14,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sketches import BLOOM, DISTINCT, distinct_estimates, draw, with_bits
+from ..session import shuffle_width
 
 Sink = Callable[[DataFrame, int], None]
 
 
-def _added_before(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
-    """What all batches before this one added to a set kept in ``folder``."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    whole = spark.read.schema(f"{schema}, batch bigint").parquet(folder)
-    return whole.where(F.col("batch") < batch).drop("batch")
-
-
-def _add(new: DataFrame, folder: str, batch: int) -> None:
-    new.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+class _Grown:
+    """A set that batches add to, in files below ``folder``, to be read as it was before any recent batch.
 
+    Each batch writes what it adds; every ``every`` batches the whole is written as one
+    snapshot, so a batch reads one snapshot and at most ``every`` small folders, however
+    old the stream is. What the last two snapshots make superfluous is deleted.
+    """
 
-def bloom_batch(folder: str, sink: Sink, *, value: str = "value") -> Sink:
+    def __init__(self, spark: SparkSession, folder: str, schema: str, every: int) -> None:
+        self.spark, self.folder, self.schema, self.every = spark, folder, schema, every
+
+    def before(self, batch: int) -> DataFrame:
+        """What all batches before this one added."""
+        start = batch // self.every * self.every
+        paths = [f"{self.folder}/upto={start}"] if start else []
+        paths += [f"{self.folder}/batch={b}" for b in range(start, batch)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def add(self, new: DataFrame, batch: int) -> None:
+        """What this batch adds; written again, it is the same."""
+        new.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        now = batch + 1
+        if now % self.every:
+            return
+        whole = self.before(batch).unionByName(self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch={batch}"))
+        whole.coalesce(max(1, shuffle_width(self.spark))).write.mode("overwrite").parquet(f"{self.folder}/upto={now}")
+        # the batch that wrote this snapshot may be run again, from the one before it
+        self._delete(f"upto={now - 2 * self.every}")
+        for b in range(now - 2 * self.every, now - self.every):
+            self._delete(f"batch={b}")
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bloom_batch(folder: str, sink: Sink, *, value: str = "value", every: int = 16) -> Sink:
     """For ``foreachBatch``: false-positive counts of each batch against a Bloom filter of all earlier ones.
 
-    State: the bits set and the values seen so far. A batch reads both by join, and
-    writes only the bits and values that it adds.
+    State: the bits set, of which there are as many as the filter has at most, and the
+    values seen so far, which tell false positives. A batch reads both by join, and writes
+    only the bits and values that it adds; every ``every`` batches they are compacted.
     """
 
     def run(batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
         values = batch_df.select(F.col(value).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
         values = values.persist()
-        set_bits = _added_before(spark, f"{folder}/bits", batch, "bit bigint")
-        seen = _added_before(spark, f"{folder}/values", batch, "value string")
+        all_bits = _Grown(spark, f"{folder}/bits", "bit bigint", every)
+        all_values = _Grown(spark, f"{folder}/values", "value string", every)
+        set_bits, seen = all_bits.before(batch), all_values.before(batch)
         missing_bits = with_bits(values.select("value"), **BLOOM).join(set_bits, "bit", "left_anti")
         negative = missing_bits.select("value").distinct().withColumn("negative", F.lit(True))
         fresh = values.select("value").join(seen, "value", "left_anti").withColumn("fresh", F.lit(True))
@@ -53,8 +80,8 @@ def bloom_batch(folder: str, sink: Sink, *, value: str = "value") -> Sink:
         )
         rate = F.try_divide(F.col("fp").cast("double"), (F.col("fp") + F.col("tn")).cast("double"))
         sink(counted.select(F.lit(batch + 1).cast("bigint").alias("batch"), "fp", "tn", rate.alias("fpr")), batch)
-        _add(missing_bits.select("bit").distinct(), f"{folder}/bits", batch)
-        _add(fresh.select("value"), f"{folder}/values", batch)
+        all_bits.add(missing_bits.select("bit").distinct(), batch)
+        all_values.add(fresh.select("value"), batch)
         values.unpersist()
 
     return run

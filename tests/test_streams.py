@@ -125,7 +125,7 @@ def test_live_forms_give_the_same_rows(spark, stream, elements, tmp_path):
         query.awaitTermination(120)
 
     out = {"bloom": [], "fm": [], "reservoir": []}
-    run(live.bloom_batch(str(tmp_path / "bloom"), lambda df, _: out["bloom"].extend(df.collect())))
+    run(live.bloom_batch(str(tmp_path / "bloom"), lambda df, _: out["bloom"].extend(df.collect()), every=4))
     run(live.distinct_batch(lambda df, _: out["fm"].extend(df.collect())))
     run(live.reservoir_batch(str(tmp_path / "res"), lambda df, _: out["reservoir"].extend(df.collect()), size=10))
     key = lambda r: tuple(map(str, r))
@@ -135,6 +135,20 @@ def test_live_forms_give_the_same_rows(spark, stream, elements, tmp_path):
     assert got == sequential_reservoir(elements, 10)
 
 
+def test_compacted_state(spark, tmp_path):
+    grown = live._Grown(spark, str(tmp_path / "g"), "value string", 3)
+    seen = set()
+    for batch in range(10):
+        assert {r["value"] for r in grown.before(batch).collect()} == seen
+        own = spark.createDataFrame([(f"v{batch}",)], "value string")
+        grown.add(own, batch)
+        grown.add(own, batch)  # a batch may be run again
+        assert {r["value"] for r in grown.before(batch).collect()} == seen
+        seen |= {f"v{batch}"}
+    kept = sorted(p.name for p in (tmp_path / "g").iterdir())
+    assert kept == ["batch=6", "batch=7", "batch=8", "batch=9", "upto=6", "upto=9"]
+
+
 def test_empty_stream(stream):
     empty = stream.limit(0)
     assert K.bloom_rates(empty).count() == K.distinct_estimates(empty).count() == K.reservoir(empty).count() == 0
