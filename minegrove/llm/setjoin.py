@@ -121,6 +121,16 @@ def numbered(rows: DataFrame, column: str, tries: int = 3) -> Column:
     return F.col(column)
 
 
+def named_numbers(rows: DataFrame, column: str, tries: int = 3) -> tuple[Column, DataFrame]:
+    """The same, and the values' table ``(id, name)`` by their numbers, materialised."""
+    for seed in range(tries):
+        number = F.xxhash64(F.lit(seed), F.col(column))
+        names = cut_lineage(rows.select(number.alias("id"), F.col(column).alias("name")).distinct())
+        if not names.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).take(1):
+            return number, names
+    return F.col(column), rows.select(F.col(column).alias("id"), F.col(column).alias("name")).distinct()
+
+
 class SimilarSets:
     """Pairs of sets with ``|A ∩ B| / |A ∪ B| >= threshold``, both of ``min_size`` or more.
 
@@ -165,8 +175,7 @@ class SimilarSets:
             rows = rows.unionByName(right.select(F.lit(1).alias("side"), *named))
         rows = rows.where(F.col("id").isNotNull() & F.col("token").isNotNull())
         # distinct values only: other stages read them again and again; ids get their names back set by set
-        number = numbered(rows, "id")
-        self._names = rows.select(number.alias("id"), F.col("id").alias("name")).distinct()
+        number, self._names = named_numbers(rows, "id")
         self._rows = cut_lineage(rows.select("side", number.alias("id"), numbered(rows, "token").alias("token")).distinct())
         self._sizes = self._rows.groupBy("side", "id").agg(F.count("*").alias("size"))
         self._giants = self._sizes.where(F.col("size") > array_limit)
