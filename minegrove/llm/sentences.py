@@ -48,7 +48,7 @@ LEANING = frozenset(
     Hr Hrn Fr Frl Dipl Ing bzw inkl exkl evtl ggf vgl Vgl sog geb gest zzgl abzgl mind max
     Sr Sra Srta Sres Dra Profa Av Avda Ud Uds Vd Vds aprox Aprox
     MM Mlle Mlles Mmes Mme Pr Me Ste av bd env boul
-    Sig Sigg Dott Exmo
+    Sig Sigg Dott dott Avv Exmo Exma Ilmo Ilma ul mgr inż
     डॉ प्रो श्री सु कु पं रु मो
     أ د م ص ج
     г ул им проф др стр
@@ -209,8 +209,8 @@ def exact_depths(symbols: np.ndarray, state: np.ndarray) -> list[tuple[int, int,
     return out
 
 
-#: Traits beside the class: a small letter (others are caseless), white space of any kind, an opening character, one of addresses.
-CASED, WHITE, OPENER, ADDRESS = 1, 2, 4, 8
+#: Traits beside the class: a small letter (others are caseless), white space of any kind, an opening character, one of addresses, an invisible one.
+CASED, WHITE, OPENER, ADDRESS, INVISIBLE = 1, 2, 4, 8, 16
 _OPENERS = "".join(o for o, _ in PAIRS) + "-–—"
 
 
@@ -239,7 +239,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for c in closing:
             kind[ord(c)] = CLOSE
     kind[ord("'")] = CLOSE
-    for pattern, flag in ((r"\p{Lowercase}", CASED), (r"\s", WHITE)):
+    for pattern, flag in ((r"\p{Lowercase}", CASED), (r"\s", WHITE), (r"\p{Cf}", INVISIBLE)):
         for m in regex.finditer(f"{pattern}+", text):
             trait[code[m.start() : m.end()]] |= flag
     for chars, flag in ((_OPENERS, OPENER), ("/\\@", ADDRESS)):
@@ -380,7 +380,9 @@ class _Batch:
         self.solid = self.letter | (kind == DIGIT) | (kind == COMBINING)
         self.token_starts = _before((kind == SPACE) & (self.code != ord("\r"))) + 1
         self.slashes = _before(self.code == ord("/"))
-        self.break_before = _before(~self.solid) + 1
+        # a word goes on over invisible characters, but begins with a visible one
+        invisible = (trait & INVISIBLE) > 0
+        self.break_before = _following(~invisible)[_before(~(self.solid | invisible)) + 1]
         self.letters_from = _before(~self.letter) + 1
         self.letters_to = _following(~self.letter)
         self.next_visible = _following(kind != SPACE)

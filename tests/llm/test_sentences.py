@@ -96,6 +96,12 @@ def test_more_names_than_can_be_sent(spark):
     assert len(want) == 7 * 6
 
 
+def test_words_go_on_over_invisible_characters():
+    text = "Because the bell hu\u200bms. Which one? \u200bDr. Quellan knows. It said no\u00ad. Then it left."
+    got = [text[a:b] for a, b in S.split_texts([text])[0]]
+    assert got == ["Because the bell hu\u200bms.", "Which one?", "\u200bDr. Quellan knows.", "It said no\u00ad.", "Then it left."]
+
+
 def test_depth_is_unbounded():
     for n in (1, 7, 8, 9, 40):
         text = "(" * n + "a. B" + ")" * (n - 1) + " c. D. e) f. G"
