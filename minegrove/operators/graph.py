@@ -16,18 +16,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.skew import salted_join
-from ..session import cut_lineage
-from .similarity import overlap_pairs
+from ..session import cut_lineage, shuffle_width
 
-#: Betweenness within this of the highest is tied with it.
+#: Betweenness within this of the highest is tied with it; where that is above 1000, within this part of a thousandth of it.
 TIE = 1e-9
+#: Blocks of no more vertices squared times edges keep their path shares; searches from several sources at once hold so many numbers.
+SMALL, FLAT = 20_000, 2_000_000
 #: A graph of no more edges is searched in one task, with the same result: rounds of joins would cost more than they share out.
 ONE_TASK_EDGES = 200_000
 
 
 def cooccurrence_graph(pairs: DataFrame, least: int) -> DataFrame:
-    """Edges between ids that share at least ``least`` tokens; ids without an edge are no vertices."""
-    return overlap_pairs(pairs, least).select(F.col("id_1").alias("src"), F.col("id_2").alias("dst"))
+    """Edges between ids that share at least ``least`` tokens; ids without an edge are no vertices.
+
+    ``pairs``: distinct ``(id, token)``. With all tokens in one order by their frequency, the
+    rarest of ``least`` shared tokens is not among the ``least`` - 1 most frequent ones of
+    either id. So ids of fewer tokens are left out, the others meet on all but those
+    tokens, and the pairs that met are counted whole, over the tokens of the lesser one.
+    """
+    sizes = pairs.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    sized = pairs.join(sizes, "id")
+    frequency = sized.groupBy("token").agg(F.count("*").alias("_f"))
+    large = cut_lineage(sized.join(frequency, "token").select("id", "token", "_n", "_f"))
+    order = W.partitionBy("id").orderBy(F.desc("_f"), F.desc("token"))
+    frequent = large.withColumn("_r", F.row_number().over(order)).where(F.col("_r") < least).select("id", "token")
+    rare = cut_lineage(large.where("_f > 1").join(frequent, ["id", "token"], "left_anti").select("id", "token", "_n"))
+    a = rare.select("token", F.col("id").alias("id_1"), F.col("_n").alias("_n1"))
+    b = rare.select("token", F.col("id").alias("id_2"), F.col("_n").alias("_n2"))
+    lesser = F.col("_n1") <= F.col("_n2")
+    met = a.join(b, "token").where(F.col("id_1") < F.col("id_2"))
+    ends = met.select(F.when(lesser, F.col("id_1")).otherwise(F.col("id_2")).alias("few"), F.when(lesser, F.col("id_2")).otherwise(F.col("id_1")).alias("many"))
+    told = ends.distinct().join(large.select(F.col("id").alias("few"), "token"), "few")
+    shared = told.join(large.select(F.col("id").alias("many"), "token"), ["many", "token"]).groupBy("few", "many").agg(F.count("*").alias("_o"))
+    return shared.where(F.col("_o") >= least).select(F.least("few", "many").alias("src"), F.greatest("few", "many").alias("dst"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -269,61 +290,203 @@ def _betweenness_by_levels(edges: DataFrame) -> DataFrame:
 # Communities
 
 
+def _blocks(near: dict, weight: dict, start: int) -> tuple[list, list[tuple[list[tuple], dict]]]:
+    """The vertices reached from ``start``, and the blocks (parts that no single vertex parts) between them: edges and weights.
+
+    A vertex weighs in a block as much as it and all that hangs on it outside of the block.
+    Shortest paths pass from block to block at the same vertices, so with these weights
+    the betweenness of a block's edges is found in the block alone.
+    """
+    place, low, hung = {start: 0}, {start: 0}, {start: weight[start]}
+    path, waiting, stack, found = [start], [iter(near[start])], [], []
+    while path:
+        v, up = path[-1], path[-2] if len(path) > 1 else None
+        for w in waiting[-1]:
+            if w not in place:
+                stack.append((v, w))
+                place[w] = low[w] = len(place)
+                hung[w] = weight[w]
+                path.append(w)
+                waiting.append(iter(near[w]))
+                break
+            if w != up and place[w] < place[v]:
+                stack.append((v, w))
+                low[v] = min(low[v], place[w])
+        else:
+            path.pop()
+            waiting.pop()
+            if up is None:
+                break
+            low[up] = min(low[up], low[v])
+            if low[v] >= place[up]:
+                own = [stack.pop()]
+                while own[-1] != (up, v):
+                    own.append(stack.pop())
+                weights = {x: hung[x] for e in own for x in e if x != up}
+                hung[up] += sum(weights.values())
+                found.append((up, own, weights))
+    for up, _, weights in found:
+        weights[up] = hung[start] - sum(weights.values())
+    return list(place), [(sorted((v, w) if v < w else (w, v) for v, w in own), weights) for _, own, weights in found]
+
+
+def _path_shares(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each two vertices (a row) the share of their shortest paths that passes each edge; a row for both orders."""
+    linked = np.zeros((n, n))
+    linked[src, dst] = linked[dst, src] = 1.0
+    distance, paths, front, level = np.where(np.eye(n) > 0, 0, -1), np.eye(n), np.eye(n), 0
+    while True:
+        front = np.where(distance < 0, front @ linked, 0.0)
+        if not front.any():
+            break
+        level += 1
+        distance[front > 0] = level
+        paths += front
+    out = np.zeros((n, n, len(src)))
+    for a, b in ((src, dst), (dst, src)):
+        passed = distance[:, a][:, None, :] + 1 + distance[b, :].T[None, :, :] == distance[:, :, None]
+        out += np.where(passed, paths[:, a][:, None, :] * paths[b, :].T[None, :, :], 0.0)
+    return (out / paths[:, :, None]).reshape(n * n, len(src))
+
+
+def _weighted_betweenness(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Betweenness of each edge of a connected graph, a pair of vertices counting as the product of their weights.
+
+    Searches from many sources at once, level by level; ``FLAT`` bounds what is held of them.
+    """
+    m = len(src)
+    tail, head, edge = np.concatenate([src, dst]), np.concatenate([dst, src]), np.tile(np.arange(m), 2)
+    order = np.argsort(tail, kind="stable")
+    head, edge = head[order], edge[order]
+    degree = np.bincount(tail, minlength=n)
+    first = np.cumsum(degree) - degree
+    total = np.zeros(m)
+    step = max(1, FLAT // (n + 2 * m))
+    for begin in range(0, n, step):
+        sources = np.arange(begin, min(n, begin + step))
+        reached = np.full(len(sources) * n, -1, dtype=np.int64)
+        paths, mark = np.zeros(len(reached)), np.zeros(len(reached), dtype=np.int64)
+        front = np.arange(len(sources)) * n + sources
+        reached[front], paths[front] = 0, 1.0
+        levels = []
+        while len(front):
+            v = front % n
+            many = degree[v]
+            arc = np.repeat(first[v] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            parent = np.repeat(front, many)
+            child = np.repeat(front - v, many) + head[arc]
+            fresh = reached[child] < 0
+            parent, child, by = parent[fresh], child[fresh], edge[arc[fresh]]
+            reached[child] = len(levels) + 1
+            np.add.at(paths, child, paths[parent])
+            mark[child] = np.arange(len(child))
+            front = child[mark[child] == np.arange(len(child))]
+            levels.append((parent, child, by))
+        credit = (weight[sources][:, None] * weight[None, :]).reshape(-1)
+        for parent, child, by in reversed(levels):
+            share = credit[child] * (paths[parent] / paths[child])
+            np.add.at(credit, parent, share)
+            total += np.bincount(by, weights=share, minlength=m)
+    return total / 2
+
+
+class _Block:
+    """A block with the betweenness of its edges; ``kept`` has the path shares of small blocks by their edges."""
+
+    def __init__(self, edges: list[tuple], weights: dict, kept: dict):
+        self.edges, self.weights = edges, weights
+        if len(edges) == 1:
+            self.values = [float(weights[edges[0][0]] * weights[edges[0][1]])]
+        else:
+            number = {v: i for i, v in enumerate(sorted(weights))}
+            n, weight = len(number), np.array([weights[v] for v in number], dtype=float)
+            src, dst = (np.array([number[e[i]] for e in edges]) for i in (0, 1))
+            if n * n * len(edges) > SMALL:
+                self.values = _weighted_betweenness(n, src, dst, weight).tolist()
+            else:
+                key = tuple(edges)
+                if key not in kept:
+                    kept[key] = _path_shares(n, src, dst)
+                self.values = (np.outer(weight, weight).reshape(-1) @ kept[key] / 2).tolist()
+        self.top = max(self.values)
+
+    def without(self, gone: set, kept: dict) -> list[_Block] | None:
+        """The blocks that are left of this one without some of its edges; none if they no longer hold together."""
+        kept.pop(tuple(self.edges), None)
+        left = [e for e in self.edges if e not in gone]
+        if len(left) < len(self.weights) - 1:
+            return None
+        reached, made = _blocks(adjacency(left), self.weights, self.edges[0][0])
+        return [_Block(*m, kept) for m in made] if len(reached) == len(self.weights) else None
+
+
 def component_cuts(edges: list[tuple], total: int) -> list[tuple[float, float, list[tuple]]]:
     """The whole course of cutting one component: each time (highest betweenness, modularity part after the cut, edges cut).
 
     The first entry has infinite betweenness and no edges: the component as it is.
-    Betweenness is computed again only in the piece in which edges were cut.
+    Betweenness is computed again only in the block in which edges were cut, and, where
+    its piece falls apart, in all blocks of that piece, as their weights change.
     """
-    degree: dict = defaultdict(int)
-    for a, b in edges:
-        degree[a] += 1
-        degree[b] += 1
-    whole = set(edges)
+    number = {v: i for i, v in enumerate(sorted({v for e in edges for v in e}))}
+    named = {tuple(sorted((number[a], number[b]))): (a, b) for a, b in edges}
+    whole: list[set] = [set() for _ in number]
+    for a, b in named:
+        whole[a].add(b)
+        whole[b].add(a)
+    near = [set(w) for w in whole]
+    alone = [1] * len(near)
+    kept: dict = {}
+    settled: list[float] = []  # parts of pieces without edges
 
     def part(members: set) -> float:
-        inside = sum(1 for a, b in whole if a in members and b in members)
-        k = sum(degree[v] for v in members)
-        kk = sum(degree[v] ** 2 for v in members)
+        inside = sum(len(whole[v] & members) for v in members) // 2
+        k = sum(len(whole[v]) for v in members)
+        kk = sum(len(whole[v]) ** 2 for v in members)
         return (2 * inside - (k * k - kk) / (2 * total)) / (2 * total)
 
-    def pieces(near: dict, members: Iterable) -> list[set]:
-        left, out = set(members), []
+    def pieces(left: set) -> list[tuple[set, float, list[_Block], float]]:
+        out = []
         while left:
             start = left.pop()
-            piece, waiting = {start}, [start]
-            while waiting:
-                for w in near[waiting.pop()]:
-                    if w not in piece:
-                        piece.add(w)
-                        waiting.append(w)
-            left -= piece
-            out.append(piece)
+            reached, made = _blocks(near, alone, start)
+            members = set(reached)
+            left -= members
+            if made:
+                blocks = [_Block(*m, kept) for m in made]
+                out.append((members, part(members), blocks, max(b.top for b in blocks)))
+            else:
+                settled.append(part(members))
         return out
 
-    def measured(members: set, alive: set) -> tuple[set, dict, float]:
-        near = adjacency((a, b) for a, b in alive if a in members)
-        return members, local_betweenness(near), part(members)
-
-    alive = set(edges)
-    state = [measured(m, alive) for m in pieces(adjacency(edges), degree)]
-    course = [(float("inf"), sum(p for _, _, p in state), [])]
-    while alive:
-        top = max(max(b.values(), default=0.0) for _, b, _ in state)
+    state = pieces(set(range(len(near))))
+    course = [(float("inf"), sum(own for _, own, _, _ in state), [])]
+    while state:
+        top = max(highest for *_, highest in state)
+        least = top - TIE * max(1.0, top / 1000)
         cut, following = [], []
-        for members, between, own in state:
-            tied = [e for e, b in between.items() if b >= top - TIE]
-            if not tied:
-                following.append((members, between, own))
+        for members, own, blocks, highest in state:
+            if highest < least:
+                following.append((members, own, blocks, highest))
                 continue
-            cut += tied
-            alive -= set(tied)
-            near = adjacency(e for e in between if e in alive)
-            for v in members:
-                near.setdefault(v, [])
-            following += [measured(m, alive) for m in pieces(near, members)]
+            after, whole_still = [], True
+            for block in blocks:
+                if block.top < least:
+                    after.append(block)
+                    continue
+                tied = {e for e, b in zip(block.edges, block.values, strict=True) if b >= least}
+                cut += [named[e] for e in tied]
+                for a, b in tied:
+                    near[a].discard(b)
+                    near[b].discard(a)
+                left = block.without(tied, kept) if whole_still else None
+                whole_still = left is not None
+                after += left or []
+            if whole_still:
+                following.append((members, own, after, max(b.top for b in after)))
+            else:
+                following += pieces(set(members))
         state = following
-        course.append((top, sum(p for _, _, p in state), sorted(cut)))
+        course.append((top, sum(settled) + sum(own for _, own, _, _ in state), sorted(cut)))
     return course
 
 
@@ -398,7 +561,9 @@ def girvan_newman(edges: DataFrame, *, component_edges: int = 20_000) -> tuple[D
         return pd.DataFrame(rows, columns=["turn", "change", "cut"])
 
     schema = f"turn array<double>, change double, cut array<struct<a: {kind}, b: {kind}>>"
-    courses = cut_lineage(placed.groupBy("component").applyInPandas(course, schema))
+    # few rows and much work: a stated number of parts, or AQE would put all components into one task
+    dealt = placed.repartition(shuffle_width(edges.sparkSession), "component")
+    courses = cut_lineage(dealt.groupBy("component").applyInPandas(course, schema))
     # the first round is the graph as it is; one row a round, so the running sum may stand in one task
     rounds = courses.groupBy("turn").agg(F.sum("change").alias("change"))
     upto = W.orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -1,6 +1,7 @@
 """Graph operators against plain algorithms on small graphs."""
 
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -121,6 +122,84 @@ def test_girvan_newman(spark, name):
     assert measured == pytest.approx(want_q)
 
 
+def cut_in_the_whole(edges):
+    """Each round's highest betweenness and the edges tied at it, the whole graph searched again."""
+    alive, course = list(edges), []
+    while alive:
+        between = paths_betweenness(alive)
+        top = max(between.values())
+        course.append((top, sorted(e for e in alive if between[e] >= top - G.TIE)))
+        alive = [e for e in alive if between[e] < top - G.TIE]
+    return course
+
+
+@pytest.mark.parametrize("small, flat", [(G.SMALL, G.FLAT), (0, G.FLAT), (0, 30)])
+@pytest.mark.parametrize("seed", range(8))
+def test_cuts_by_blocks_are_those_of_the_whole(monkeypatch, seed, small, flat):
+    """Dense and sparse components, with path shares kept, without them, and searched from few sources at a time."""
+    monkeypatch.setattr(G, "SMALL", small)
+    monkeypatch.setattr(G, "FLAT", flat)
+    graph = random_graph(seed, 12, 12 + 2 * seed)
+    for piece in components(graph):
+        own = [e for e in graph if e[0] in piece]
+        course = G.component_cuts(own, len(graph))
+        assert course[0][2] == []
+        want = cut_in_the_whole(own)
+        assert [cut for _, _, cut in course[1:]] == [cut for _, cut in want]
+        assert [top for top, _, _ in course[1:]] == pytest.approx([top for top, _ in want])
+        # the last part is that of single vertices, as nothing else holds together
+        assert course[-1][1] == pytest.approx(0)
+
+
+def test_arms_of_a_hub_are_cut_in_time():
+    """Arms of 1 to 60 edges hang on a vertex: they go one by one, the longest first, and the rest is not searched again each time."""
+    edges = []
+    for length in range(1, 61):
+        arm = [f"a{length:02d}-{i:02d}" for i in range(length)]
+        edges += [(arm[0], "hub"), *zip(arm, arm[1:])]
+    begun = time.process_time()
+    course = G.component_cuts(edges, len(edges))
+    assert time.process_time() - begun < 20
+    assert [cut for _, _, cut in course[1:31]] == [[(f"a{60 - i:02d}-00", "hub")] for i in range(30)]
+    assert [top for top, _, _ in course[1:4]] == [60 * 1771, 59 * 1712, 58 * 1654]
+    assert sorted(e for _, _, cut in course for e in cut) == sorted(edges)
+
+
+def test_components_are_dealt_to_several_tasks(spark):
+    """Each component's course is work of its own, however few bytes they are."""
+    from pyspark import TaskContext
+
+    edges = [(f"{c}{i}", f"{c}{i + 1}") for c in "abcdefghijkl" for i in range(3)]
+    plain = G.component_cuts
+    task = spark.sparkContext.accumulator(0)
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(own, total):
+        seen.add(1)
+        task.add(1 << (8 * TaskContext.get().partitionId()))
+        return plain(own, total)
+
+    G.component_cuts = noted
+    try:
+        G.girvan_newman(frame(spark, edges))
+    finally:
+        G.component_cuts = plain
+    made = [x for x in task.value.to_bytes(64, "little") if x]
+    assert seen.value == 12 and len(made) > 1
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 6])
+@pytest.mark.parametrize("seed", range(3))
+def test_cooccurrence_graph(spark, seed, least):
+    """Against brute force, with an id and tokens that most rows have."""
+    rng = random.Random(seed)
+    sets = {f"u{i:02d}": {"t0"} | {f"t{int(12 * rng.random() ** 2)}" for _ in range(rng.randrange(0, 10))} for i in range(25)}
+    sets["all"] = {f"t{i}" for i in range(12)} | {f"own{i}" for i in range(40)}
+    pairs = spark.createDataFrame([(u, t) for u, own in sets.items() for t in sorted(own)], "id string, token string")
+    got = [(r["src"], r["dst"]) for r in G.cooccurrence_graph(pairs, least).collect()]
+    assert sorted(got) == [e for e in combinations(sorted(sets), 2) if len(sets[e[0]] & sets[e[1]]) >= least]
+
+
 def test_a_large_component_is_refused(spark):
     with pytest.raises(ValueError):
         G.girvan_newman(frame(spark, GRAPHS["chain"]), component_edges=3)
